@@ -56,3 +56,32 @@ def plain_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.flatnonzero(edge == -1) - starts
     upto = np.searchsorted(starts, ends)
     return hash_spans(data, starts, lengths, inside), np.diff(upto, prepend=0)
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = _LETTER[0x80:] = True
+
+
+def letter_terms(texts: list[str | None], stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all letter runs, and of the first bytes (``stems``: how many) of longer runs, with each one's text.
+
+    Letters are A-Z and every character beyond ASCII; A-Z and À-Þ are lower-cased.
+    """
+    data, ends = joined(texts)
+    inside = _LETTER[data]
+    folded = _LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    folded[lead[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)] + 1] += 32
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts = np.flatnonzero(edge == 1)
+    lengths = np.flatnonzero(edge == -1) - starts
+    text = np.searchsorted(ends, starts)
+    whole = hash_spans(folded, starts, lengths, inside)
+    terms, owners = [whole], [text]
+    for stem in stems:
+        long = np.flatnonzero(lengths > stem)
+        spelt = folded[starts[long][:, None] + np.arange(stem)].astype(np.uint64) + np.uint64(1)
+        terms.append(mix((weights(stem)[:stem] * spelt).sum(1, dtype=np.uint64) + np.uint64(stem)))
+        owners.append(text[long])
+    return np.concatenate(terms), np.concatenate(owners)
