@@ -1,0 +1,27 @@
+"""Connected components by least labels and pointer jumping, written down every round."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pointloom.llm.common import written
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a long, b long): root is the least node of its component.
+
+    Neighbours' labels meet in aggregates with map-side minima, so a node with very many
+    neighbours costs no task more than its share; AQE may split the joins' skewed keys.
+    """
+    both = edges.where("a <> b").select("a", "b").distinct()
+    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        lower = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
+        up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        lower = lower.join(up, "root", "left").select("node", F.least("root", "above").alias("root"), "was")
+        labels = written(lower, "labels")
+        if labels.where("root <> was").isEmpty():
+            return labels.select("node", "root")
