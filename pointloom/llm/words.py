@@ -85,3 +85,21 @@ def letter_terms(texts: list[str | None], stems: tuple[int, ...]) -> tuple[np.nd
         terms.append(mix((weights(stem)[:stem] * spelt).sum(1, dtype=np.uint64) + np.uint64(stem)))
         owners.append(text[long])
     return np.concatenate(terms), np.concatenate(owners)
+
+
+_ALNUM = _LETTER.copy()
+_ALNUM[ord("0") : ord("9") + 1] = True
+
+
+def alnum_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of letters and digits (folded as in letter_terms), and each text's number of them."""
+    data, ends = joined(texts)
+    inside = _ALNUM[data]
+    folded = _LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    folded[lead[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)] + 1] += 32
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts = np.flatnonzero(edge == 1)
+    lengths = np.flatnonzero(edge == -1) - starts
+    return hash_spans(folded, starts, lengths, inside), np.diff(np.searchsorted(starts, ends), prepend=0)
