@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import decontamination, jaccard, packing, quality, sharding, toxicity, warc
+from pointloom.llm import decontamination, jaccard, language_model, packing, quality, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_pages(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "range_no", "place")
@@ -43,7 +47,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_sharding, op3_ngram_jaccard_join, op4_toxicity, op5_benchmark_decontamination, op7_warc, op10_quality_classifier]
+    found = [op1_best_fit_packing, op2_sharding, op3_ngram_jaccard_join, op4_toxicity, op5_benchmark_decontamination, op6_lm_scoring, op7_warc, op10_quality_classifier]
     return {f.__name__: f for f in found}
 
 
