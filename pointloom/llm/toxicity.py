@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm import words
@@ -213,27 +213,23 @@ def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int
     return index
 
 
-def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS, evidence: int = 3) -> DataFrame:
-    """doc_id, score (0 to 1) and the ids of the nearest examples of each whole text.
-
-    Null and empty texts have no neighbours and get the curve's value at even votes.
-    Repeated rows get repeated results; a null doc_id stays null.
-    """
+def scored(docs: DataFrame, index: Index, k: int = NEIGHBOURS, evidence: int = 3) -> Column:
+    """A column for ``docs``: score of the column ``text`` (0 to 1), ids of the nearest examples and their cosines."""
     sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = sent.value
-        for batch in batches:
-            texts = batch["text"].tolist()
-            found = [f for i in range(0, len(texts), STEP) for f in model.scores(texts[i : i + STEP], k)]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
-                "score": [f[0] for f in found],
-                "evidence": [model.ids[f[1][:evidence]].tolist() for f in found],
-                "cosines": [f[2][:evidence].tolist() for f in found],
-            })
+    @F.pandas_udf("score double, evidence array<long>, cosines array<double>")
+    def apply(text: pd.Series) -> pd.DataFrame:
+        model, texts = sent.value, text.tolist()
+        found = [f for i in range(0, len(texts), STEP) for f in model.scores(texts[i : i + STEP], k)]
+        return pd.DataFrame({"score": [f[0] for f in found], "evidence": [model.ids[f[1][:evidence]].tolist() for f in found], "cosines": [f[2][:evidence].tolist() for f in found]})
+
+    return apply("text")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(apply, "doc_id long, score double, evidence array<long>, cosines array<double>")
+
+def clean(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``most``, with all their columns."""
+    index = fit(docs, training_labels(labels))
+    return docs.where(scored(docs, index)["score"] < most)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -242,6 +238,11 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Digest rows: doc_id, held_out, score, predicted, and evidence."""
-    scored = score(docs, fit(docs, training_labels(labels)))
-    return scored.select("doc_id", (digits_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
+    """Digest rows: doc_id, held_out, score, predicted, and evidence.
+
+    Null and empty texts have no neighbours and get the curve's value at even votes.
+    Repeated rows get repeated results; a null doc_id stays null; of ``labels``, rows
+    with nulls are left out. Other columns are not read.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored(docs, fit(docs, training_labels(labels))).alias("s"))
+    return rows.select("doc_id", (digits_crc() % 5 == 0).alias("held_out"), "s.score", (F.col("s.score") >= 0.5).cast("int").alias("predicted"), "s.evidence", "s.cosines")
