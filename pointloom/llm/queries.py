@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import decontamination, jaccard, language_model, packing, quality, sharding, toxicity, warc
+from pointloom.llm import decontamination, jaccard, language_model, media, packing, quality, rollup, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,23 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "range_no", "place")
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.match_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.replay(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_sharding, op3_ngram_jaccard_join, op4_toxicity, op5_benchmark_decontamination, op6_lm_scoring, op7_warc, op10_quality_classifier]
+    found = [
+        op1_best_fit_packing, op2_sharding, op3_ngram_jaccard_join, op4_toxicity, op5_benchmark_decontamination, op6_lm_scoring, op7_warc,
+        op8_media_columns, op9_token_counts, op10_quality_classifier,
+    ]
     return {f.__name__: f for f in found}
 
 

@@ -139,6 +139,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(b[0], 1e-3)), float(b[1])
 
 
+def present(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """One label (the smallest) for each doc_id that ``docs`` has; rows with nulls are left out."""
+    labelled = labelled.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
+    return labelled.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+
+
 def _sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> pd.DataFrame:
     """Up to per_label labelled texts of each label, by hash order: the only rows that reach the driver."""
     parts = []
@@ -176,7 +182,7 @@ def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int
     ``labelled``: doc_id, label (0 or 1; rows with nulls are left out; of repeated
     doc_ids the smallest label counts). Without examples, scores are 0.
     """
-    labelled = labelled.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
+    labelled = present(docs, labelled)
     shares = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     sample = _sample(docs, labelled, per_label)
     texts = sample["text"].tolist()
