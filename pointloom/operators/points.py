@@ -128,3 +128,14 @@ def with_slot(df: DataFrame, *order: Column | str, name: str = "slot", first: in
     base = sizes.select("__p", "__low", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     joined = sorted_rows.join(F.broadcast(base), "__p")
     return joined.withColumn(name, F.col("__base") + F.col("__i") - F.col("__low") + first).drop("__p", "__i", "__low", "__base")
+
+
+def running_sum(df: DataFrame, value: str, *order: Column | str, name: str = "running") -> DataFrame:
+    """The sum of ``value`` up to and with each row, in order: per range partition, then the partitions' bases."""
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows = written(sorted_rows.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}), "ranged")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    base = sorted_rows.groupBy("__p").agg(F.sum(value).alias("__v"))
+    base = base.select("__p", F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__base"))
+    here = F.sum(value).over(Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    return sorted_rows.withColumn("__here", here).join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + F.col("__here")).drop("__p", "__i", "__here", "__base")
