@@ -408,7 +408,7 @@ def _clustered(spark, sf):
     return density.dbscan(emb2(spark, sf), EPS, MIN_PTS)
 
 
-@query(f"{LABELLED}, m AS (SELECT t, c, count(*) n FROM v GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM m) cells, (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) n FROM m GROUP BY t)) a, (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) n FROM m GROUP BY c)) b, (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM m) pairs) SELECT round((cells - a * b / pairs) / ((a + b) / 2 - a * b / pairs), 9) AS ari FROM s")
+@query(f"{LABELLED}, m AS (SELECT t, c, count(*) n FROM v GROUP BY 1, 2), sums AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM m) cells, (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) n FROM m GROUP BY t)) a, (SELECT sum(n * (n - 1) / 2.0) FROM (SELECT sum(n) n FROM m GROUP BY c)) b, (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM m) pairs) SELECT round((cells - a * b / pairs) / ((a + b) / 2 - a * b / pairs), 9) AS ari FROM sums")
 def ari_vs_label(spark, sf):
     return metrics.adjusted_rand(_clustered(spark, sf), "true_label", "cluster").select(F.round("ari", 9).alias("ari"))
 
@@ -575,7 +575,7 @@ def cheb_eval(spark, sf):
     return _line(spark, sf).select("id", F.round(approx.odd_chebyshev(_U - _V, _CHEB, 0.5), 9).alias("y"))
 
 
-@query(f"SELECT id, round(1.5 * (u - v) - 0.7 * (u - v) ** 3 + 0.2 * (u - v) ** 5, 9) AS y FROM ({_LINE})")
+@query(f"SELECT id, round((u - v) * (1.5 + (u - v) * (u - v) * (-0.7 + (u - v) * (u - v) * 0.2)), 9) AS y FROM ({_LINE})")
 def odd_polynomial(spark, sf):
     return _line(spark, sf).select("id", F.round(approx.odd_polynomial(_U - _V, [1.5, -0.7, 0.2]), 9).alias("y"))
 

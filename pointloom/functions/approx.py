@@ -1,12 +1,14 @@
 """Approximate arithmetic as column expressions: only sums and products of the inputs.
 
-The iterations unroll into one expression and stay in generated code; long polynomial
-chains go through ``polynomial_chain``, an Arrow-batched function.
+Iterations are folds over a state inside one expression, so their size does not grow
+with the steps (unrolled, each step would repeat the one before it several times); long
+polynomial chains go through ``polynomial_chain``, an Arrow-batched function.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,13 +16,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _repeat(state: Column, steps: int, step: Callable[[Column], Column], finish: Callable[[Column], Column] | None = None) -> Column:
+    return F.aggregate(F.array_repeat(F.lit(0), steps), state, lambda s, _: step(s), finish)
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
+
+
 def inverse(x: Column, depth: int = 6) -> Column:
     """1/x for 0 < x < 2: the product of 1 + (1 - x)^(2^k)."""
-    out, b = 2 - x, 1 - x
-    for _ in range(depth):
-        b = b * b
-        out = out * (1 + b)
-    return out
+    return _repeat(_pair(2 - x, 1 - x), depth, lambda s: _pair(s.a * (1 + s.b * s.b), s.b * s.b), lambda s: s.a)
 
 
 def scaled_inverse(x: Column, m: float, depth: int = 6) -> Column:
@@ -30,11 +36,7 @@ def scaled_inverse(x: Column, m: float, depth: int = 6) -> Column:
 
 def square_root(x: Column, depth: int = 6) -> Column:
     """sqrt(x) for 0 <= x <= 1."""
-    a, b = x, x - 1
-    for _ in range(depth):
-        a = a * (1 - b / 2)
-        b = b * b * ((b - 3) / 4)
-    return a
+    return _repeat(_pair(x, x - 1), depth, lambda s: _pair(s.a * (1 - s.b / 2), s.b * s.b * ((s.b - 3) / 4)), lambda s: s.a)
 
 
 def minimum(a: Column, b: Column, depth: int = 6) -> Column:
@@ -49,32 +51,26 @@ def maximum(a: Column, b: Column, depth: int = 6) -> Column:
 
 def compare(a: Column, b: Column, rounds: int = 4, power: int = 4, depth: int = 5) -> Column:
     """Towards 1 where a > b, 0 where a < b, one half where equal; for a, b in [1/2, 3/2)."""
-    x = a / 2 * inverse((a + b) / 2, depth)
-    y = 1 - x
-    for _ in range(rounds):
-        p, q = x, y
-        for _ in range(int(math.log2(power))):
-            p, q = p * p, q * q
-        x = p * inverse(p + q, depth)
-        y = 1 - x
-    return x
+    start = a / 2 * inverse((a + b) / 2, depth)
+    square = lambda v: _repeat(v, int(math.log2(power)), lambda t: t * t)
+
+    def step(x: Column) -> Column:
+        both = _pair(square(x), square(1 - x))
+        return _repeat(both, 1, lambda s: _pair(s.a * inverse(s.a + s.b, depth), s.b), lambda s: s.a)
+
+    return _repeat(start, rounds, step)
 
 
 def argmax_one_hot(values: Column, rounds: int = 4, power: int = 2) -> Column:
     """An array's values over their sum, raised and scaled again and again: near 1 at the largest."""
-    out = values
-    for k in range(rounds + 1):
-        raised = F.transform(out, lambda v: F.pow(v, F.lit(float(power)))) if k else out
-        total = F.aggregate(raised, F.lit(0.0), lambda s, v: s + v)
-        out = F.transform(raised, lambda v, t=total: v / t)
-    return out
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    share = lambda v: F.transform(v, lambda x: x / total(v))
+    return _repeat(share(values), rounds, lambda v: share(F.transform(v, lambda x: F.pow(x, F.lit(float(power))))))
 
 
 def cubic_sign(x: Column, steps: int = 5) -> Column:
     """1.5 x - 0.5 x^3, repeated: towards the sign of x in [-1, 1]."""
-    for _ in range(steps):
-        x = x * 1.5 - x * x * x * 0.5
-    return x
+    return _repeat(x.cast("double"), steps, lambda v: v * 1.5 - v * v * v * 0.5)
 
 
 def steps_to_lift(least: float, target: float = 0.9) -> int:
@@ -107,9 +103,7 @@ def maximum_by_sign(u: Column, v: Column, steps: int = 12) -> Column:
 
 def clean_bit(x: Column, steps: int = 1) -> Column:
     """3 x^2 - 2 x^3, repeated: values near 0 and 1 come nearer."""
-    for _ in range(steps):
-        x = x * x * (3 - 2 * x)
-    return x
+    return _repeat(x.cast("double"), steps, lambda v: v * v * (3 - 2 * v))
 
 
 def clean_sign(x: Column, steps: int = 1) -> Column:
@@ -128,10 +122,8 @@ def odd_chebyshev(x: Column, coefficients: list[float], bound: float = 1.0) -> C
     """The sum of c_k T_(2k+1)(x / bound), by Clenshaw's recurrence for odd degrees."""
     x = x / F.lit(float(bound))
     turn = 2 * (2 * x * x - 1)  # T_(n+2) = 2 T_2 T_n - T_(n-2)
-    b1, b2 = F.lit(0.0), F.lit(0.0)
-    for c in reversed(coefficients):
-        b1, b2 = F.lit(float(c)) + turn * b1 - b2, b1
-    return x * (b1 - b2)
+    terms = F.array(*[F.lit(float(c)) for c in reversed(coefficients)])
+    return x * F.aggregate(terms, _pair(F.lit(0.0), F.lit(0.0)), lambda s, c: _pair(c + turn * s.a - s.b, s.a), lambda s: s.a - s.b)
 
 
 def odd_chebyshev_values(x: np.ndarray, coefficients: list[float], bound: float = 1.0) -> np.ndarray:

@@ -54,7 +54,8 @@ def kmax_window(ordered: DataFrame, eps: float) -> DataFrame:
     width = eps or 1.0
     rows = ordered.select("z", F.floor(F.col("z") / F.lit(width)).cast("long").alias("band"))
     both = rows.select("z", "band", F.lit(1).alias("own")).unionByName(rows.select("z", (F.col("band") - 1).alias("band"), F.lit(0).alias("own")))
-    ahead = F.count("*").over(Window.partitionBy("band").orderBy("z").rangeBetween(Window.currentRow, eps)) - F.count("*").over(Window.partitionBy("band").orderBy("z").rangeBetween(0, 0))
+    near = F.expr(f"count(1) OVER (PARTITION BY band ORDER BY z RANGE BETWEEN CURRENT ROW AND CAST({eps!r} AS DOUBLE) FOLLOWING)")
+    ahead = near - F.count("*").over(Window.partitionBy("band").orderBy("z").rangeBetween(0, 0))
     most = both.withColumn("ahead", ahead).where("own = 1").agg(F.max("ahead").alias("most"), F.count("*").alias("n"))
     return most.select(F.least(F.greatest(F.coalesce("most", F.lit(1)), F.lit(1)), F.floor(F.col("n") / 2)).cast("long").alias("k_max"))
 
