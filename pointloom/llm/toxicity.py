@@ -29,7 +29,7 @@ BLOCK = 32
 STEP = 500
 STEMS = (4, 5)
 #: Terms in more than this share of all documents, or in a smaller share of the examples than RARE, are not indexed.
-COMMON, RARE = 0.05, 0.01
+COMMON, RARE = 0.06, 0.02
 
 
 def counted(texts: list[str | None], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
