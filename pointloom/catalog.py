@@ -514,12 +514,9 @@ def _line(spark, sf):
     return _read(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_discount").alias("u"), F.col("l_tax").alias("v"))
 
 
-_U, _V = F.col("u"), F.col("v")
-
-
 @query(_unrolled({"a": "2 - (0.5 + u)", "b": "1 - (0.5 + u)"}, [{"b": "b * b", "a": "a * (1 + b)"}] * 6, "round(a, 9) AS y", _LINE))
 def approx_inverse(spark, sf):
-    return _line(spark, sf).select("id", F.round(approx.inverse(_U + 0.5), 9).alias("y"))
+    return _line(spark, sf).select("id", F.round(approx.inverse(F.col("u") + 0.5), 9).alias("y"))
 
 
 _ROOT = [{"a": "a * (1 - b / 2)", "b": "b * b * ((b - 3) / 4)"}] * 6
@@ -527,7 +524,7 @@ _ROOT = [{"a": "a * (1 - b / 2)", "b": "b * b * ((b - 3) / 4)"}] * 6
 
 @query(_unrolled({"a": "u + 0.3", "b": "u + 0.3 - 1"}, _ROOT, "round(a, 9) AS y", _LINE))
 def approx_sqrt(spark, sf):
-    return _line(spark, sf).select("id", F.round(approx.square_root(_U + 0.3), 9).alias("y"))
+    return _line(spark, sf).select("id", F.round(approx.square_root(F.col("u") + 0.3), 9).alias("y"))
 
 
 _HALF = {"a": "((u - v) / 2) * ((u - v) / 2)", "b": "((u - v) / 2) * ((u - v) / 2) - 1"}
@@ -535,7 +532,7 @@ _HALF = {"a": "((u - v) / 2) * ((u - v) / 2)", "b": "((u - v) / 2) * ((u - v) /
 
 @query(_unrolled(_HALF, _ROOT, "round((u + v) / 2 - a, 9) AS low, round((u + v) / 2 + a, 9) AS high", _LINE))
 def approx_min_max(spark, sf):
-    return _line(spark, sf).select("id", F.round(approx.minimum(_U, _V), 9).alias("low"), F.round(approx.maximum(_U, _V), 9).alias("high"))
+    return _line(spark, sf).select("id", F.round(approx.minimum(F.col("u"), F.col("v")), 9).alias("low"), F.round(approx.maximum(F.col("u"), F.col("v")), 9).alias("high"))
 
 
 def _inverse_sql(x: str, name: str, depth: int) -> list[dict[str, str]]:
@@ -549,22 +546,22 @@ for _ in range(4):
 
 @query(_unrolled({"w": "0.0::DOUBLE", "b": "0.0::DOUBLE", "x": "0.0::DOUBLE", "p": "0.0::DOUBLE", "q": "0.0::DOUBLE"}, _COMPARE, "round(x, 9) AS y", _LINE))
 def approx_compare(spark, sf):
-    return _line(spark, sf).select("id", F.round(approx.compare(_U + 0.6, _V + 0.6), 9).alias("y"))
+    return _line(spark, sf).select("id", F.round(approx.compare(F.col("u") + 0.6, F.col("v") + 0.6), 9).alias("y"))
 
 
 @query(_unrolled({"x": "u - v"}, [{"x": "x * 1.5 - x * x * x * 0.5"}] * 14, "round(x, 9) AS y", _LINE))
 def approx_sign(spark, sf):
-    return _line(spark, sf).select("id", F.round(approx.cubic_sign(_U - _V, 14), 9).alias("y"))
+    return _line(spark, sf).select("id", F.round(approx.cubic_sign(F.col("u") - F.col("v"), 14), 9).alias("y"))
 
 
 @query(_unrolled({"x": "v - u"}, [{"x": "x * 1.5 - x * x * x * 0.5"}] * 12, "round(u + (v - u) * (1 + x) / 2, 9) AS y", _LINE))
 def approx_max_by_sign(spark, sf):
-    return _line(spark, sf).select("id", F.round(approx.maximum_by_sign(_U, _V), 9).alias("y"))
+    return _line(spark, sf).select("id", F.round(approx.maximum_by_sign(F.col("u"), F.col("v")), 9).alias("y"))
 
 
 @query(_unrolled({"x": "u * 10"}, [{"x": "x * x * (3 - 2 * x)"}] * 2, "round(x, 9) AS y", _LINE))
 def bit_cleaning(spark, sf):
-    return _line(spark, sf).select("id", F.round(approx.clean_bit(_U * 10, 2), 9).alias("y"))
+    return _line(spark, sf).select("id", F.round(approx.clean_bit(F.col("u") * 10, 2), 9).alias("y"))
 
 
 _CHEB = [1.2, -0.35, 0.15, -0.05]
@@ -572,12 +569,12 @@ _CHEB = [1.2, -0.35, 0.15, -0.05]
 
 @query(f"WITH l AS (SELECT id, (u - v) / 0.5 AS x FROM ({_LINE})) SELECT id, round({' + '.join(f'({c}) * cos({2 * k + 1} * acos(x))' for k, c in enumerate(_CHEB))}, 9) AS y FROM l")
 def cheb_eval(spark, sf):
-    return _line(spark, sf).select("id", F.round(approx.odd_chebyshev(_U - _V, _CHEB, 0.5), 9).alias("y"))
+    return _line(spark, sf).select("id", F.round(approx.odd_chebyshev(F.col("u") - F.col("v"), _CHEB, 0.5), 9).alias("y"))
 
 
 @query(f"SELECT id, round((u - v) * (1.5 + (u - v) * (u - v) * (-0.7 + (u - v) * (u - v) * 0.2)), 9) AS y FROM ({_LINE})")
 def odd_polynomial(spark, sf):
-    return _line(spark, sf).select("id", F.round(approx.odd_polynomial(_U - _V, [1.5, -0.7, 0.2]), 9).alias("y"))
+    return _line(spark, sf).select("id", F.round(approx.odd_polynomial(F.col("u") - F.col("v"), [1.5, -0.7, 0.2]), 9).alias("y"))
 
 
 _MAX3 = "SELECT o_orderkey AS id, 0.5 + (o_orderkey % 7) / 10.0 AS p, 0.5 + (o_orderkey % 5) / 10.0 AS q, 0.5 + (o_orderkey % 3) / 10.0 AS r FROM orders"
@@ -598,7 +595,7 @@ _SIGN = _unrolled({"x": "u - v", "e": "abs(u - v)"}, [{"x": "x * 1.5 - x * x * x
 
 @query(f"WITH z AS ({_SIGN}) SELECT CASE WHEN e < 0.01 THEN 0 WHEN e < 0.03 THEN 1 WHEN e < 0.05 THEN 2 ELSE 3 END AS bin, count(*) AS n, round(avg(err), 9) AS mean, round(stddev_pop(err), 9) AS std, round(quantile_cont(err, 0.5), 9) AS median, round(max(err), 9) AS max FROM z GROUP BY 1")
 def error_stats_binned(spark, sf):
-    diff = _U - _V
+    diff = F.col("u") - F.col("v")
     stats = metrics.error_stats(_line(spark, sf), approx.cubic_sign(diff, 14) - F.signum(diff), metrics.magnitude_bin(diff, [0.0, 0.01, 0.03, 0.05, 1.0]))
     return stats.select("bin", "n", *[F.round(c, 9).alias(c) for c in ("mean", "std", "median", "max")])
 

@@ -53,8 +53,8 @@ def silhouette(points: DataFrame, label: str = "cluster", exclude_noise: bool =
 def majority_mapping(df: DataFrame, predicted: str, true: str) -> DataFrame:
     """Each predicted class with its most frequent true class (ties: the smallest)."""
     counts = df.groupBy(predicted, true).agg(F.count("*").alias("n"))
-    best = F.max_by(F.struct(true, "n"), F.struct(F.col("n"), -F.col(true).cast("double"))).alias("b")
-    return counts.groupBy(predicted).agg(best).select(predicted, F.col(f"b.{true}").alias("mapped"), F.col("b.n").alias("points"))
+    best = F.max_by(F.struct(true, "n"), F.struct(F.col("n"), -F.col(true).cast("double"))).alias("__best")
+    return counts.groupBy(predicted).agg(best).select(predicted, F.col(f"__best.{true}").alias("mapped"), F.col("__best.n").alias("points"))
 
 
 def match_rate(df: DataFrame, a: str, b: str, order: str = "id", first: int = 50) -> DataFrame:

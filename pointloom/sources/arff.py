@@ -83,6 +83,6 @@ def write(points: DataFrame, path: str, relation: str = "points", digits: int =
     labels = [str(r[0]) for r in points.select("true_label").distinct().orderBy("true_label").collect()]
     head = [f"@relation {relation}", "", *[f"@attribute x{k + 1} REAL" for k in range(d)], f"@attribute class {{{','.join(labels)}}}", "", "@data"]
     first = spark.createDataFrame([(-1, i, h) for i, h in enumerate(head)], "a long, b long, value string")
-    spelt = F.array_join(F.transform("coords", lambda c: F.format_number(c, "0." + "0" * digits)), ",")
+    spelt = F.array_join(F.transform("coords", lambda c: F.format_string(f"%.{digits}f", c)), ",")
     body = points.select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"), F.concat_ws(",", spelt, F.col("true_label").cast("string")).alias("value"))
     first.unionByName(body).coalesce(1).sortWithinPartitions("a", "b").select("value").write.mode("overwrite").text(path)

@@ -10,7 +10,7 @@ POLYNOMIALS = "components array<struct<index: int, degree: int, coeffs: array<do
 
 def write_vector(df: DataFrame, path: str, value: str, header: str, order: str = "slot", digits: int = 6) -> None:
     """Point_ID and a value to six places, under a heading."""
-    rows = df.select(F.col(order).alias("Point_ID"), F.format_number(F.col(value).cast("double"), "0." + "0" * digits).alias(header))
+    rows = df.select(F.col(order).alias("Point_ID"), F.format_string(f"%.{digits}f", F.col(value).cast("double")).alias(header))
     rows.orderBy("Point_ID").write.mode("overwrite").csv(path, header=True)
 
 
@@ -32,7 +32,7 @@ def differences(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 def result_rows(points: DataFrame, d: int, labels: dict[str, str], digits: int = 6, withheld: str | None = None) -> DataFrame:
     """x1..xd as text (NA where the column ``withheld`` holds), then columns under new headings."""
     hide = F.col(withheld) if withheld else F.lit(False)
-    spelt = [F.when(hide, "NA").otherwise(F.format_number(F.col("coords")[k], "0." + "0" * digits)).alias(f"x{k + 1}") for k in range(d)]
+    spelt = [F.when(hide, "NA").otherwise(F.format_string(f"%.{digits}f", F.col("coords")[k])).alias(f"x{k + 1}") for k in range(d)]
     return points.select(*spelt, *[F.col(c).alias(h) for c, h in labels.items()])
 
 
