@@ -60,7 +60,7 @@ def test_against_plain(spark, method):
 
 def test_tie_rules(spark):
     # a border point (id 4) between two groups, a neighbour of one core of each
-    rows = [(0, 0), (0, 0.1), (0.1, 0), (0.05, 0.05), (1.05, 0), (2, 0), (2, 0.1), (2.1, 0), (2.05, 0.05)]
+    rows = [(0, 0), (0, 0.1), (0.1, 0), (0.05, 0.05), (1.05, 0), (2, 0), (2, 0.4), (2.1, 0), (2.05, 0.05)]
     p = table(spark, rows)
     assert neighbours.join_cross(p, 1.0, 2).where("src = 4 or dst = 4").count() == 2
     by = {t: clusters(density.dbscan(p, 1.0, 4, tie=t))[4] for t in density.TIES}
