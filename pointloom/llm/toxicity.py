@@ -7,6 +7,8 @@ weight in each block; a query adds these up to bound every block's cosines, open
 blocks from the highest bound down, and stops when no unopened block can beat its
 k-th neighbour. Neighbours vote with their cosines; votes are turned into
 probabilities by a logistic curve fitted to the examples' own leave-one-out votes.
+Which terms are indexed is decided by the same votes: of a few bounds on how common
+and how rare a term may be, those with the least loss are taken. No other labels are read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ BLOCK = 32
 #: Texts cut into terms at once.
 STEP = 500
 STEMS = (4, 5)
-#: Terms in more than this share of all documents, or in a smaller share of the examples than RARE, are not indexed.
-COMMON, RARE = 0.06, 0.02
+#: Choices of bounds on terms: those in more than the first share of all documents, or in a smaller share of the
+#: examples than the second, are not indexed. The examples' own leave-one-out loss decides between them.
+BOUNDS = tuple((common, rare) for common in (0.03, 0.06) for rare in (0.02, 0.04))
 
 
 def counted(texts: list[str | None], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,47 +179,55 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     return df[:size], int(df[size])
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Index:
-    """An index of labelled examples with document frequencies of all ``docs``.
-
-    ``labelled``: doc_id, label (0 or 1; rows with nulls are left out; of repeated
-    doc_ids the smallest label counts). Without examples, scores are 0.
-    """
-    labelled = present(docs, labelled)
-    shares = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    sample = _sample(docs, labelled, per_label)
-    texts = sample["text"].tolist()
-    seen, in_examples = np.unique(counted(texts)[1], return_counts=True)
-    vocabulary = seen[in_examples >= max(RARE * len(sample), 1 + (len(sample) > 20))]
-    df, n_docs = _frequencies(docs, vocabulary)
-    kept = (df <= max(COMMON * n_docs, 5)) & (df > 0)
-    vocabulary, df = vocabulary[kept], df[kept]
+def _index(texts: list[str], labels: np.ndarray, ids: np.ndarray, vocabulary: np.ndarray, df: np.ndarray, n_docs: int) -> tuple[Index, list[tuple[np.ndarray, np.ndarray]]]:
+    """The index of the examples over these terms, and the examples' vectors in its order."""
     idf = np.log((n_docs + 1) / (df + 0.5))
     units = vectors(texts, vocabulary, idf)
     # like examples next to each other: by label, then by their heaviest term
     heads = [int(at[np.argmax(w)]) if len(at) else -1 for at, w in units]
-    labels = sample["label"].to_numpy(np.int64) if len(sample) else np.empty(0, np.int64)
-    order = np.lexsort((np.array(heads, np.int64), labels)) if len(sample) else np.empty(0, np.int64)
+    order = np.lexsort((np.array(heads, np.int64), labels)) if len(units) else np.empty(0, np.int64)
     units = [units[i] for i in order]
     term = np.concatenate([at for at, _ in units]) if units else np.empty(0, np.int64)
     weight = np.concatenate([w for _, w in units]) if units else np.empty(0)
     example = np.repeat(np.arange(len(units)), [len(at) for at, _ in units])
     by_term = np.argsort(term, kind="stable")
-    blocks = -(-len(units) // BLOCK)
-    largest = np.zeros((len(vocabulary), blocks))
+    largest = np.zeros((len(vocabulary), -(-len(units) // BLOCK)))
     np.maximum.at(largest, (term, example // BLOCK), weight)
-    index = Index(
-        vocabulary, idf, np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1)), example[by_term], weight[by_term], largest,
-        labels[order], sample["doc_id"].to_numpy(np.int64)[order] if len(sample) else np.empty(0, np.int64),
-    )
-    if {0, 1} <= set(index.labels.tolist()):
+    first = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
+    return Index(vocabulary, idf, first, example[by_term], weight[by_term], largest, labels[order], ids[order]), units
+
+
+def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS, bounds: tuple[tuple[float, float], ...] = BOUNDS) -> Index:
+    """An index of labelled examples with document frequencies of all ``docs``.
+
+    ``labelled``: doc_id, label (0 or 1; rows with nulls are left out; of repeated
+    doc_ids the smallest label counts). Without examples, scores are 0. Of ``bounds``,
+    the first with the least leave-one-out loss counts; with one label only, the first.
+    """
+    labelled = present(docs, labelled)
+    shares = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sample = _sample(docs, labelled, per_label)
+    texts = sample["text"].tolist()
+    labels, ids = (sample[c].to_numpy(np.int64) if len(sample) else np.empty(0, np.int64) for c in ("label", "doc_id"))
+    seen, in_examples = np.unique(counted(texts)[1], return_counts=True)
+    fewest = {rare: max(rare * len(sample), 1 + (len(sample) > 20)) for _, rare in bounds}
+    vocabulary, in_examples = (x[in_examples >= min(fewest.values())] for x in (seen, in_examples))
+    df, n_docs = _frequencies(docs, vocabulary)
+    both = {0, 1} <= set(labels.tolist())
+    found = []
+    for common, rare in bounds if both else bounds[:1]:
+        kept = (df <= max(common * n_docs, 5)) & (df > 0) & (in_examples >= fewest[rare])
+        index, units = _index(texts, labels, ids, vocabulary[kept], df[kept], n_docs)
+        if not both:
+            index.curve = (1e-3, 12.0 if 1 in index.labels else -12.0)
+            return index
         odds = np.array([index.vote(at, w, k, leave=i)[0] for i, (at, w) in enumerate(units)])
-        per_example = np.array([shares[y] / (index.labels == y).sum() for y in (0, 1)])
-        weight = per_example[index.labels]
-        index.curve = _logistic(odds, index.labels, weight / weight.mean())
-    else:
-        index.curve = (1e-3, 12.0 if 1 in index.labels else -12.0)
-    return index
+        weight = np.array([shares[y] / (index.labels == y).sum() for y in (0, 1)])[index.labels]
+        weight /= weight.mean()
+        index.curve = _logistic(odds, index.labels, weight)
+        at = (index.curve[0] * odds + index.curve[1]) * (1 - 2 * index.labels)
+        found.append((float((weight * np.logaddexp(0, at)).mean()), len(found), index))
+    return min(found)[2]
 
 
 def scored(docs: DataFrame, index: Index, k: int = NEIGHBOURS, evidence: int = 3) -> Column:
