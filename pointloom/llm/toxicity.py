@@ -2,13 +2,16 @@
 
 The examples are a bounded sample of labelled rows (``per_label`` of each label, by
 hash order). Inverse document frequencies of their terms are counted over all
-documents. The index orders examples by blocks and keeps, for each term, the largest
-weight in each block; a query adds these up to bound every block's cosines, opens
+documents, and no term is too common to index: a term's weight is its TF-IDF times
+how unevenly it occurs between the example labels, so words of all texts count little and
+words of toxic texts much, however many rows they stand in. The index orders examples by
+blocks and keeps, for each term, the largest weight in each block it has; the most common
+terms stand as whole rows instead. A query adds these up to bound every block's cosines, opens
 blocks from the highest bound down, and stops when no unopened block can beat its
 k-th neighbour. Neighbours vote with their cosines; votes are turned into
 probabilities by a logistic curve fitted to the examples' own leave-one-out votes.
-Which terms are indexed is decided by the same votes: of a few bounds on how common
-and how rare a term may be, those with the least loss are taken. No other labels are read.
+Which terms are indexed is decided by the same votes: of a few bounds on how rare a
+term may be, that with the least loss is taken. No other labels are read.
 """
 
 from __future__ import annotations
@@ -30,9 +33,13 @@ BLOCK = 32
 #: Texts cut into terms at once.
 STEP = 500
 STEMS = (4, 5)
-#: Choices of bounds on terms: those in more than the first share of all documents, or in a smaller share of the
-#: examples than the second, are not indexed. The examples' own leave-one-out loss decides between them.
-BOUNDS = tuple((common, rare) for common in (0.03, 0.06) for rare in (0.02, 0.04))
+#: So many of the most common terms are kept as whole rows of weights (a matter of storage only).
+WHOLE = 512
+#: A term's chi-square against the labels at which it has about half of its TF-IDF weight.
+HALF = 30
+#: Choices of bounds on terms: those in a smaller share of the examples are not indexed. The examples' own
+#: leave-one-out loss decides between them.
+BOUNDS = (0.02, 0.04)
 
 
 def counted(texts: list[str | None], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +52,10 @@ def counted(texts: list[str | None], vocabulary: np.ndarray | None = None) -> tu
     if vocabulary is not None:
         at = np.searchsorted(vocabulary, term)
         known = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == term) if len(vocabulary) else np.empty(0, np.int64)
-        term, text = at[known], text[known]
+        key = np.sort(text[known] * len(vocabulary) + at[known])
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        text, term = np.divmod(key[first], max(len(vocabulary), 1))
+        return text, term, np.diff(np.append(first, len(key)))
     order = np.lexsort((term, text))
     term, text = term[order], text[order]
     new = np.ones(len(term), bool)
@@ -55,7 +65,7 @@ def counted(texts: list[str | None], vocabulary: np.ndarray | None = None) -> tu
 
 
 def vectors(texts: list[str | None], vocabulary: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text the places and weights, (1 + ln count) x idf, of its indexed terms, scaled to length 1."""
+    """Of each text the places and weights, (1 + ln count) x the term's weight, of its indexed terms, scaled to length 1."""
     text, term, count = counted(texts, vocabulary)
     weight = idf[term] * (1 + np.log(count))
     cuts = np.searchsorted(text, np.arange(len(texts) + 1))
@@ -66,40 +76,61 @@ def vectors(texts: list[str | None], vocabulary: np.ndarray, idf: np.ndarray) ->
     return out
 
 
+def _spans(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places first[i] up to first[i + 1] of each i in ``at``, one after another, and how many each i has."""
+    counts = first[at + 1] - first[at]
+    return np.arange(int(counts.sum())) + np.repeat(first[at] - np.cumsum(counts) + counts, counts), counts
+
+
 @dataclass
 class Index:
     """Inverted index of unit TF-IDF vectors; examples are numbered so that blocks hold like ones."""
 
     vocabulary: np.ndarray  # sorted hashes of terms
-    idf: np.ndarray
+    idf: np.ndarray  # times the unevenness between the labels
     first: np.ndarray  # per term: its postings' beginning (one more at the end)
     example: np.ndarray
     weight: np.ndarray
-    largest: np.ndarray  # terms x blocks
+    part: np.ndarray  # per term: the beginning of its parts (one more at the end), a part being its postings in one block
+    block: np.ndarray  # of each part
+    largest: np.ndarray  # weight in each part
+    start: np.ndarray  # each part's first posting (one more at the end)
+    row: np.ndarray  # per term: its row in whole, -1 if it has none
+    whole: np.ndarray  # weights of the most common terms, a row each, by example
     labels: np.ndarray
     ids: np.ndarray
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def neighbours(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def common(self, units: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the most common terms add to the cosine of each vector with each example."""
+        x = np.zeros((len(units), len(self.whole)))
+        for i, (at, weight) in enumerate(units):
+            row = self.row[at]
+            x[i, row[row >= 0]] = weight[row >= 0]
+        return x @ self.whole
+
+    def neighbours(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties: lower number first), and their cosines: exact."""
-        if not len(at):
+        n = len(self.labels)
+        if not len(at) or not n:
             return np.empty(0, np.int64), np.empty(0)
-        bounds = weight @ self.largest[at]
+        if common is None:
+            common = self.common([(at, weight)])[0]
+        rest = self.row[at] < 0
+        parts, counts = _spans(self.part, at[rest])
+        weights, owner = np.repeat(weight[rest], counts), self.block[parts]
+        starts = np.arange(0, n, BLOCK)
+        bounds = np.maximum.reduceat(common, starts) + np.bincount(owner, weights * self.largest[parts], len(starts))
         order = np.argsort(-bounds, kind="stable")
-        n = len(self.labels)
-        counts = self.first[at + 1] - self.first[at]
-        spots = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[at], counts)
-        weights = np.repeat(weight, counts)
-        example = self.example[spots]
-        owner = example // BLOCK
         opened, scores = 0, np.zeros(n)
         step = max(4, -(-k // BLOCK) * 2)
         while opened < len(order) and bounds[order[opened]] > 0:
-            now = order[opened : opened + step]
             mask = np.zeros(len(bounds), bool)
-            mask[now] = True
+            mask[order[opened : opened + step]] = True
             here = mask[owner]
-            scores += np.bincount(example[here], weights[here] * self.weight[spots[here]], n)
+            spots, sizes = _spans(self.start, parts[here])
+            scores += np.bincount(self.example[spots], np.repeat(weights[here], sizes) * self.weight[spots], n)
+            scores += np.where(np.repeat(mask, BLOCK)[:n], common, 0)
             opened += step
             if leave >= 0:
                 scores[leave] = 0
@@ -112,9 +143,9 @@ class Index:
         top = top[np.argsort(-scores[top], kind="stable")[:k]]
         return top, scores[top]
 
-    def vote(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int = -1, common: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """The log odds of the neighbours' votes, each as strong as its cosine squared, and the neighbours."""
-        who, cosine = self.neighbours(at, weight, k, leave)
+        who, cosine = self.neighbours(at, weight, k, leave, common)
         strength = cosine**2
         yes = strength[self.labels[who] == 1].sum()
         no = strength[self.labels[who] == 0].sum()
@@ -123,7 +154,8 @@ class Index:
 
     def scores(self, texts: list[str | None], k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
         slope, level = self.curve
-        found = [self.vote(at, weight, k) for at, weight in vectors(texts, self.vocabulary, self.idf)]
+        units = vectors(texts, self.vocabulary, self.idf)
+        found = [self.vote(at, weight, k, common=row) for (at, weight), row in zip(units, self.common(units), strict=True)]
         return [(float(1 / (1 + np.exp(-(slope * odds + level)))), who, cosine) for odds, who, cosine in found]
 
 
@@ -179,9 +211,19 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     return df[:size], int(df[size])
 
 
+def _uneven(texts: list[str], labels: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """How unevenly each term occurs between the labels: from 1 / HALF (evenly) to near 1, by its chi-square."""
+    text, term, _ = counted(texts, vocabulary)
+    every, yes = (np.bincount(term[labels[text] >= y], minlength=len(vocabulary)).astype(float) for y in (0, 1))
+    n, toxic = len(labels), int(labels.sum())
+    spread = every * (n - every) * toxic * (n - toxic)
+    chi = np.divide((yes * n - every * toxic) ** 2 * n, spread, out=np.zeros(len(vocabulary)), where=spread > 0)
+    return (chi + 1) / (chi + HALF)
+
+
 def _index(texts: list[str], labels: np.ndarray, ids: np.ndarray, vocabulary: np.ndarray, df: np.ndarray, n_docs: int) -> tuple[Index, list[tuple[np.ndarray, np.ndarray]]]:
     """The index of the examples over these terms, and the examples' vectors in its order."""
-    idf = np.log((n_docs + 1) / (df + 0.5))
+    idf = np.log((n_docs + 1) / (df + 0.5)) * _uneven(texts, labels, vocabulary)
     units = vectors(texts, vocabulary, idf)
     # like examples next to each other: by label, then by their heaviest term
     heads = [int(at[np.argmax(w)]) if len(at) else -1 for at, w in units]
@@ -191,13 +233,22 @@ def _index(texts: list[str], labels: np.ndarray, ids: np.ndarray, vocabulary: np
     weight = np.concatenate([w for _, w in units]) if units else np.empty(0)
     example = np.repeat(np.arange(len(units)), [len(at) for at, _ in units])
     by_term = np.argsort(term, kind="stable")
-    largest = np.zeros((len(vocabulary), -(-len(units) // BLOCK)))
-    np.maximum.at(largest, (term, example // BLOCK), weight)
-    first = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
-    return Index(vocabulary, idf, first, example[by_term], weight[by_term], largest, labels[order], ids[order]), units
-
-
-def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS, bounds: tuple[tuple[float, float], ...] = BOUNDS) -> Index:
+    term, example, weight = term[by_term], example[by_term], weight[by_term]
+    first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+    start = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(example // BLOCK, prepend=-1))
+    part = np.searchsorted(term[start], np.arange(len(vocabulary) + 1))
+    largest = np.maximum.reduceat(weight, start) if len(start) else np.empty(0)
+    row = np.full(len(vocabulary), -1)
+    most = np.argsort(-np.diff(first), kind="stable")[:WHOLE]
+    row[most] = np.arange(len(most))
+    whole = np.zeros((len(most), len(units)))
+    there = row[term] >= 0
+    whole[row[term[there]], example[there]] = weight[there]
+    index = Index(vocabulary, idf, first, example, weight, part, example[start] // BLOCK, largest, np.append(start, len(term)), row, whole, labels[order], ids[order])
+    return index, units
+
+
+def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS, bounds: tuple[float, ...] = BOUNDS) -> Index:
     """An index of labelled examples with document frequencies of all ``docs``.
 
     ``labelled``: doc_id, label (0 or 1; rows with nulls are left out; of repeated
@@ -210,13 +261,13 @@ def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int
     texts = sample["text"].tolist()
     labels, ids = (sample[c].to_numpy(np.int64) if len(sample) else np.empty(0, np.int64) for c in ("label", "doc_id"))
     seen, in_examples = np.unique(counted(texts)[1], return_counts=True)
-    fewest = {rare: max(rare * len(sample), 1 + (len(sample) > 20)) for _, rare in bounds}
+    fewest = {rare: max(rare * len(sample), 1 + (len(sample) > 20)) for rare in bounds}
     vocabulary, in_examples = (x[in_examples >= min(fewest.values())] for x in (seen, in_examples))
     df, n_docs = _frequencies(docs, vocabulary)
     both = {0, 1} <= set(labels.tolist())
     found = []
-    for common, rare in bounds if both else bounds[:1]:
-        kept = (df <= max(common * n_docs, 5)) & (df > 0) & (in_examples >= fewest[rare])
+    for rare in bounds if both else bounds[:1]:
+        kept = (df > 0) & (in_examples >= fewest[rare])
         index, units = _index(texts, labels, ids, vocabulary[kept], df[kept], n_docs)
         if not both:
             index.curve = (1e-3, 12.0 if 1 in index.labels else -12.0)

@@ -48,6 +48,18 @@ def test_toxicity_on_held_out_rows(labelled, stored):
     assert toxicity.clean(stored, labels).columns == stored.columns
 
 
+def test_common_evidence_counts(spark):
+    """A third of the rows are copies of one toxic text, and another third shares its words one by one: still told."""
+    rng = random.Random(21)
+    vile = prose(rng, 40) + " " + " ".join(VILE)
+    docs = [(i, vile if i % 3 == 0 else prose(rng, 60) + " " + (" ".join(rng.sample(VILE, 4)) if i % 3 == 1 else "")) for i in range(600)]
+    labels = [(i, 1, int(i % 3 < 2)) for i in range(600)]
+    found = toxicity.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    rows = [r for r in found.collect() if r["held_out"]]
+    assert all(r["evidence"] for r in rows if r["doc_id"] % 3 < 2)
+    assert sum(r["predicted"] == (r["doc_id"] % 3 < 2) for r in rows) >= 0.95 * len(rows)
+
+
 def test_neighbours_are_exact(labelled):
     docs, labels = labelled
     index = toxicity.fit(docs, toxicity.training_labels(labels))
