@@ -10,8 +10,7 @@ terms stand as whole rows instead. A query adds these up to bound every block's
 blocks from the highest bound down, and stops when no unopened block can beat its
 k-th neighbour. Neighbours vote with their cosines; votes are turned into
 probabilities by a logistic curve fitted to the examples' own leave-one-out votes.
-Which terms are indexed is decided by the same votes: of a few bounds on how rare a
-term may be, that with the least loss is taken. No other labels are read.
+All terms of the examples are indexed, however rare. No other labels are read.
 """
 
 from __future__ import annotations
@@ -37,9 +36,6 @@ STEMS = (4, 5)
 WHOLE = 512
 #: A term's chi-square against the labels at which it has about half of its TF-IDF weight.
 HALF = 30
-#: Choices of bounds on terms: those in a smaller share of the examples are not indexed. The examples' own
-#: leave-one-out loss decides between them.
-BOUNDS = (0.02, 0.04)
 
 
 def counted(texts: list[str | None], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,37 +244,27 @@ def _index(texts: list[str], labels: np.ndarray, ids: np.ndarray, vocabulary: np
     return index, units
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS, bounds: tuple[float, ...] = BOUNDS) -> Index:
+def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Index:
     """An index of labelled examples with document frequencies of all ``docs``.
 
     ``labelled``: doc_id, label (0 or 1; rows with nulls are left out; of repeated
-    doc_ids the smallest label counts). Without examples, scores are 0. Of ``bounds``,
-    the first with the least leave-one-out loss counts; with one label only, the first.
+    doc_ids the smallest label counts). Without examples, scores are 0.
     """
     labelled = present(docs, labelled)
     shares = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     sample = _sample(docs, labelled, per_label)
     texts = sample["text"].tolist()
     labels, ids = (sample[c].to_numpy(np.int64) if len(sample) else np.empty(0, np.int64) for c in ("label", "doc_id"))
-    seen, in_examples = np.unique(counted(texts)[1], return_counts=True)
-    fewest = {rare: max(rare * len(sample), 1 + (len(sample) > 20)) for rare in bounds}
-    vocabulary, in_examples = (x[in_examples >= min(fewest.values())] for x in (seen, in_examples))
+    vocabulary = np.unique(counted(texts)[1])
     df, n_docs = _frequencies(docs, vocabulary)
-    both = {0, 1} <= set(labels.tolist())
-    found = []
-    for rare in bounds if both else bounds[:1]:
-        kept = (df > 0) & (in_examples >= fewest[rare])
-        index, units = _index(texts, labels, ids, vocabulary[kept], df[kept], n_docs)
-        if not both:
-            index.curve = (1e-3, 12.0 if 1 in index.labels else -12.0)
-            return index
-        odds = np.array([index.vote(at, w, k, leave=i)[0] for i, (at, w) in enumerate(units)])
-        weight = np.array([shares[y] / (index.labels == y).sum() for y in (0, 1)])[index.labels]
-        weight /= weight.mean()
-        index.curve = _logistic(odds, index.labels, weight)
-        at = (index.curve[0] * odds + index.curve[1]) * (1 - 2 * index.labels)
-        found.append((float((weight * np.logaddexp(0, at)).mean()), len(found), index))
-    return min(found)[2]
+    index, units = _index(texts, labels, ids, vocabulary, df, n_docs)
+    if not {0, 1} <= set(labels.tolist()):
+        index.curve = (1e-3, 12.0 if 1 in index.labels else -12.0)
+        return index
+    odds = np.array([index.vote(at, w, k, leave=i)[0] for i, (at, w) in enumerate(units)])
+    weight = np.array([shares[y] / (index.labels == y).sum() for y in (0, 1)])[index.labels]
+    index.curve = _logistic(odds, index.labels, weight / weight.mean())
+    return index
 
 
 def scored(docs: DataFrame, index: Index, k: int = NEIGHBOURS, evidence: int = 3) -> Column:

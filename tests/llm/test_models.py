@@ -60,6 +60,17 @@ def test_common_evidence_counts(spark):
     assert sum(r["predicted"] == (r["doc_id"] % 3 < 2) for r in rows) >= 0.95 * len(rows)
 
 
+def test_rare_kinds_of_toxicity(spark):
+    """Forty kinds of toxic text, each with words of its own in fewer than 1 % of the examples."""
+    rng = random.Random(22)
+    docs = [(i, prose(rng, 60) + (f" {chr(97 + i % 20)}{chr(97 + i % 40 // 20)}ish" * 2 if i < 400 else "")) for i in range(1600)]
+    labels = [(i, 1, int(i < 400)) for i in range(1600)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = [r for r in toxicity.score_documents(docs, labels).collect() if r["held_out"]]
+    assert sum(r["predicted"] for r in rows if r["doc_id"] < 400) >= 0.9 * len([r for r in rows if r["doc_id"] < 400])
+    assert sum(r["predicted"] for r in rows if r["doc_id"] >= 400) <= 0.02 * len(rows)
+
+
 def test_neighbours_are_exact(labelled):
     docs, labels = labelled
     index = toxicity.fit(docs, toxicity.training_labels(labels))
