@@ -337,6 +337,19 @@ def has_repeats(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
+def _connected(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and each copy class (class, n, copy_id, text_key, copies, links) with the root of its component."""
+    signed = sign(docs, similarity)
+    classes = written(copy_classes(signed), "classes")
+    clusters = components(candidate_links(classes, similarity))
+    verified = written(verify(docs, classes, clusters, similarity), "verified")
+    groups = components(verified.select(F.col("class").alias("a"), F.col("root").alias("b")))
+    links = verified.groupBy("class").agg(F.sum("links").alias("links"))
+    known = classes.select("class", "n", F.col("doc_id").alias("copy_id"), "text_key", "copies")
+    known = known.join(groups.select(F.col("node").alias("class"), "root"), "class", "left").join(links, "class", "left")
+    return signed, known.withColumn("root", F.coalesce("root", "class"))
+
+
 def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, class_id, copy_id, copies, links.
 
@@ -346,26 +359,19 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     (null, empty, white space) are copies of each other and similar to no other. Rows
     that repeat are copies; null doc_ids take part, and only give an id where no other is.
     """
-    signed = sign(docs, similarity)
-    classes = written(copy_classes(signed), "classes")
-    clusters = components(candidate_links(classes, similarity))
-    verified = written(verify(docs, classes, clusters, similarity), "verified")
-    groups = components(verified.select(F.col("class").alias("a"), F.col("root").alias("b")))
-    links = verified.groupBy("class").agg(F.sum("links").alias("links"))
-    known = classes.select("class", "n", F.col("doc_id").alias("copy_id"), "copies")
-    known = known.join(groups.select(F.col("node").alias("class"), "root"), "class", "left").join(links, "class", "left")
-    known = known.withColumn("root", F.coalesce("root", "class"))
+    signed, known = _connected(docs, similarity)
     heads = known.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     known = known.join(heads, "root").select("class", "n", "class_id", "copy_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     return signed.select("doc_id", "class", "n").join(known, ["class", "n"]).select("doc_id", "class_id", "copy_id", "copies", "links")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each group of connected rows: the least doc_id (of rows that share it, any one)."""
-    result = join(docs, similarity)
-    kept = result.groupBy("class_id").agg(F.first("class_id").alias("doc_id")).select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("__id"))
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)))
-    rows = rows.join(kept, "__id", "left_semi")
+    """``docs`` with one row of each group of connected rows: the least doc_id, whatever ids other groups have (null last; of rows with the same id, the least text key's; of equal rows, any one)."""
+    _, known = _connected(docs, similarity)
+    first = F.min(F.struct(F.col("copy_id").isNull().alias("no"), "copy_id", "text_key")).alias("r")
+    heads = known.groupBy("root").agg(first).select(F.col("r.copy_id").alias("__head"), F.col("r.text_key").alias("__head_key"))
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
+    rows = rows.join(heads, F.col("__id").eqNullSafe(F.col("__head")) & (F.col("__key") == F.col("__head_key")), "left_semi")
     if has_repeats(docs):
-        rows = rows.dropDuplicates(["__id"])
+        rows = rows.dropDuplicates(["__id", "__key"])
     return rows.select(*docs.columns)

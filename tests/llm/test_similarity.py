@@ -35,6 +35,14 @@ def test_keep_one_keeps_one_row_of_each_group_and_all_columns(stored, rows):
     assert len(ids) == len(set(ids)) and set(ids) == groups
 
 
+def test_keep_one_keeps_a_row_of_each_text_whatever_its_id(spark):
+    rng = random.Random(31)
+    a, b, c, d, e, f = (prose(rng, 40) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (2, e), (None, e), (3, f), (4, None), (None, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(None, a), (None, b), (1, c), (1, d), (2, e), (3, f), (4, None)])
+
+
 def test_blocks_of_a_large_cluster_meet(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     rng = random.Random(7)
