@@ -35,15 +35,21 @@ QUERY_BLOCK = 5000
 
 
 def pcm(audio: bytes | None) -> np.ndarray:
-    """Mono samples of WAV bytes (16 bits), resampled to RATE; null, empty and broken audio gives no samples."""
+    """Mono samples of WAV bytes (PCM of any width), resampled to RATE; null, empty and broken audio gives no samples."""
     if not audio:
         return np.empty(0)
     try:
         with wave.open(io.BytesIO(audio)) as w:
-            if w.getsampwidth() != 2:
-                return np.empty(0)
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(float)
-            x = x[: len(x) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(1) / 32768
+            width, channels = w.getsampwidth(), w.getnchannels()
+            raw = np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+            raw = raw[: len(raw) // (width * channels) * width * channels].reshape(-1, width)
+            if width == 1:  # unsigned
+                x = raw[:, 0].astype(float) / 128 - 1
+            else:
+                most = np.zeros((len(raw), 4), np.uint8)
+                most[:, -min(width, 4) :] = raw[:, -4:]
+                x = most.view("<i4")[:, 0] / 2.0**31
+            x = x.reshape(-1, channels).mean(1)
             rate = w.getframerate()
     except (wave.Error, EOFError):
         return np.empty(0)

@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import io
 import random
+import wave
 from collections import Counter
 
 import numpy as np
@@ -104,3 +106,15 @@ def test_commits_are_idempotent(spark):
     assert r.commit("one", changes) and not r.commit("one", changes)
     assert r.commit("two", changes.limit(1).withColumn("sign", F.lit(-1)))
     assert {tuple(x) for x in r.totals().collect()} in ({("a", None, "v", 1, 5), ("b", "en", "v", 2, 3)}, {("a", None, "v", 1, 10), ("b", "en", "v", 2, 3)})
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_pcm_of_every_width(width):
+    want = np.sin(np.arange(8000) / 9) * 0.8
+    whole = np.rint((want if width > 1 else want + 1) * 2.0 ** (8 * width - 1)).astype("<i8")
+    data = io.BytesIO()
+    with wave.open(data, "wb") as w:
+        w.setparams((1, width, media.RATE, 0, "NONE", ""))
+        w.writeframes(whole.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+    got = media.pcm(data.getvalue())
+    assert len(got) == len(want) and np.abs(got - want).max() < 2.0 ** (1 - 8 * width)
