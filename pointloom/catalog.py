@@ -452,11 +452,17 @@ def remap_by_appearance(spark, sf):
     return ordering.remap_by_appearance(emb2(spark, sf), "true_label").select("id", "remapped")
 
 
-@query(f"WITH {P}, q AS (SELECT (SELECT count(*) FROM p z WHERE z.x > p.x AND z.x <= p.x + {EPS!r}) w FROM p) SELECT least(greatest(max(w), 1), count(*) // 2) AS k_max FROM q")
+@query(f"WITH {P}, q AS (SELECT (SELECT count(*) - 1 FROM p z WHERE z.x >= p.x AND z.x <= p.x + {EPS!r}) w FROM p) SELECT least(greatest(max(w), 1), count(*) // 2)::BIGINT AS k_max FROM q")
 def kmax_window(spark, sf):
     return ordering.kmax_window(emb2(spark, sf).select("id", F.col("coords")[0].alias("z")), EPS)
 
 
+@query("WITH p AS (SELECT p_size::DOUBLE x FROM part), q AS (SELECT (SELECT count(*) - 1 FROM p z WHERE z.x >= p.x AND z.x <= p.x + 2) w FROM p) SELECT least(greatest(max(w), 1), count(*) // 2)::BIGINT AS k_max FROM q")
+def kmax_window_ties(spark, sf):
+    """Part sizes: fifty values, so most positions are ties."""
+    return ordering.kmax_window(_read(spark, sf, "part").select(F.col("p_size").cast("double").alias("z")), 2.0)
+
+
 @query(f"WITH {P}, m AS (SELECT avg(x) mx, avg(y) my, covar_pop(x, x) a, covar_pop(x, y) b, covar_pop(y, y) d FROM p), v AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS l FROM m), u AS (SELECT *, b AS vx, l - a AS vy FROM v), w AS (SELECT *, CASE WHEN (CASE WHEN abs(vx) >= abs(vy) THEN vx ELSE vy END) < 0 THEN -1 ELSE 1 END AS sg FROM u) SELECT id, row_number() OVER (ORDER BY ((x - mx) * vx + (y - my) * vy) * sg, id) - 1 AS slot FROM p, w")
 def pca_order_pos(spark, sf):
     return ordering.pca_order(emb2(spark, sf)).select("id", "slot")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators import neighbours as N
@@ -132,7 +132,8 @@ def label_points(cores: DataFrame, edges: DataFrame, tie: str = "first", max_rou
         roots = least_members(core_slots.select("id"), inner)
     else:
         reached, _ = propagate_largest(core_slots.select("id", F.col("slot").alias("label")), inner, max_rounds)
-        roots = reached.select("id", F.min("id").over(Window.partitionBy("label")).alias("root"))
+        heads = reached.groupBy("label").agg(F.min("id").alias("root"))
+        roots = reached.join(heads, "label").select("id", "root")
     labels = numbered(roots)
     keys = labels.join(slots, "id").groupBy("component").agg((F.max("slot") + 1).alias("key"))
     labels = written(labels.join(keys, "component").select("id", "component", "root", "key"), "core-labels")

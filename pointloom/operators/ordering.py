@@ -46,18 +46,18 @@ def restore(slotted: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def kmax_window(ordered: DataFrame, eps: float) -> DataFrame:
-    """One row, k_max: the most rows within eps after any row along z, between 1 and N // 2.
+    """One row, k_max: the most later positions along z within eps of any row's, between 1 and N // 2 (1 for fewer than two rows).
 
-    The window runs within bands of width eps that are joined to the next band, so no
-    task sorts the whole table.
+    Rows of equal z stand at positions of their own, so the first of them sees the others.
+    Positions come from running counts over range partitions: no band or tie is one task's.
     """
-    width = eps or 1.0
-    rows = ordered.select("z", F.floor(F.col("z") / F.lit(width)).cast("long").alias("band"))
-    both = rows.select("z", "band", F.lit(1).alias("own")).unionByName(rows.select("z", (F.col("band") - 1).alias("band"), F.lit(0).alias("own")))
-    near = F.expr(f"count(1) OVER (PARTITION BY band ORDER BY z RANGE BETWEEN CURRENT ROW AND CAST({eps!r} AS DOUBLE) FOLLOWING)")
-    ahead = near - F.count("*").over(Window.partitionBy("band").orderBy("z").rangeBetween(0, 0))
-    most = both.withColumn("ahead", ahead).where("own = 1").agg(F.max("ahead").alias("most"), F.count("*").alias("n"))
-    return most.select(F.least(F.greatest(F.coalesce("most", F.lit(1)), F.lit(1)), F.floor(F.col("n") / 2)).cast("long").alias("k_max"))
+    counts = running_sum(ordered.groupBy("z").agg(F.count("*").alias("n")), "n", "z", name="upto")
+    rows = counts.select(F.col("z").alias("at"), F.lit(0).alias("asks"), "n", F.lit(None).cast("long").alias("before"))
+    asks = counts.select((F.col("z") + F.lit(float(eps))).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("n"), (F.col("upto") - F.col("n")).alias("before"))
+    seen = running_sum(rows.unionByName(asks), "n", "at", "asks", name="seen")
+    most = seen.agg(F.max(F.col("seen") - F.col("before") - 1).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    bound = F.least(F.greatest(F.col("most"), F.lit(1)), F.floor(F.col("n") / 2))
+    return most.select(F.when(F.col("n") > 1, bound).otherwise(1).cast("long").alias("k_max"))
 
 
 def prepare_order(points: DataFrame, eps: float) -> tuple[DataFrame, int]:

@@ -1,12 +1,83 @@
-"""Connected components and bounded label propagation as DataFrame loops, written every round."""
+"""Connected components and label propagation as DataFrame loops, written every round.
+
+Components: every task joins the edges it has by union-find and passes on a forest, at most one
+edge a node. The forests meet by their larger node, of which each task sent one
+edge at most, so that no key is hot; parents are then replaced by their own parents. Edges
+never grow in number, and where all of them meet in one task one round is enough.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.storage import written
 
+#: Edges a task holds before it reduces them to a forest.
+HELD = 2_000_000
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of n nodes' components: roots hook to lesser neighbours, paths are halved, until no edge is left."""
+    up = np.arange(n)
+    while len(a):
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up, above := up[up]):
+            up = above
+        a, b = up[a], up[b]
+        a, b = a[a != b], b[a != b]
+    return up
+
+
+def forest(edges: DataFrame, tag: bool = False) -> DataFrame:
+    """(a, b) of each task's nodes that are not the least of their component there, with that least one; ``tag`` adds the task's number p."""
+
+    def reduced(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        up = local_roots(len(nodes), at[: len(a)], at[len(a) :])
+        rest = np.flatnonzero(up != np.arange(len(nodes)))
+        return nodes[rest], nodes[up[rest]]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        held = 0
+        for batch in batches:
+            a.append(batch.column(0).to_numpy())
+            b.append(batch.column(1).to_numpy())
+            held += batch.num_rows
+            if held > HELD:
+                one, two = reduced(np.concatenate(a), np.concatenate(b))
+                a, b, held = [one], [two], len(one) // 2
+        one, two = reduced(np.concatenate(a), np.concatenate(b))
+        p = np.full(len(one), TaskContext.get().partitionId())
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), *([pa.array(p, pa.int64())] if tag else [])], ["a", "b", *(["p"] if tag else [])])
+
+    return edges.select("a", "b").mapInArrow(apply, "a long, b long" + (", p long" if tag else ""))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a long, b long) that has another one as neighbour: root is the least node of its component."""
+    near = forest(edges.where("a <> b"))
+    while True:
+        near = written(forest(near.repartition("a"), tag=True), "forest")
+        first, last = near.agg(F.min("p"), F.max("p")).first()
+        if first == last:
+            break
+        parents = written(near.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")), "parents")
+        above = parents.select(F.col("a").alias("b"), F.col("b").alias("up"))
+        raised = near.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved"))
+        near = written(raised, "raised")
+        if near.where("moved").isEmpty() and parents.where("n > 1").isEmpty():
+            break
+    roots = near.select("b").distinct()
+    return near.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
+
 
 def both_ways(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(src, dst) in both directions."""
@@ -14,17 +85,9 @@ def both_ways(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
 
 
 def least_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root) of every node: the least id of its component; least neighbour labels, then pointer jumping."""
-    near = written(both_ways(edges).distinct(), "component-edges")
-    labels = written(nodes.select("id", F.col("id").alias("root")), "component-labels")
-    while True:
-        offered = near.join(labels.select(F.col("id").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("offered"))
-        lower = labels.join(offered, "id", "left").select("id", F.least("root", F.coalesce("offered", "root")).alias("root"), F.col("root").alias("was"))
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        labels = written(lower.join(jump, "root", "left").select("id", F.least("root", F.coalesce("above", "root")).alias("root"), "was"), "component-labels")
-        if labels.where("root <> was").isEmpty():
-            return labels.select("id", "root")
-        labels = labels.select("id", "root")
+    """(id, root) of every node: the least id of its component under ``edges`` (src, dst)."""
+    found = components(edges.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b")))
+    return nodes.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def propagate_largest(labels: DataFrame, edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:

@@ -29,9 +29,10 @@ def prepare(points: DataFrame, side: float, bucket: int | None = None) -> tuple[
 
     Without ``bucket`` it is the largest occupancy, so that nothing is dropped.
     """
-    lo, hi, _ = negotiate(points).first()
+    lo, hi, d = points.agg(F.min(F.array_min("coords")), F.max(F.array_max("coords")), F.max(F.size("coords"))).first()
+    if d is None:  # no owner has any point
+        lo, hi, d = 0.0, 1.0, 1
     scale = float(hi - lo) or 1.0
-    d = points.select(F.size("coords").alias("d")).first()["d"]
     scaled = points.withColumn("coords", F.transform("coords", lambda c: (c - F.lit(float(lo))) / F.lit(scale)))
     lows, highs, step = [0.0] * d, [1.0] * d, side / scale
     counts = grid.axis_counts(lows, highs, step)

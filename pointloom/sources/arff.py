@@ -77,9 +77,9 @@ def join_columns(values: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def write(points: DataFrame, path: str, relation: str = "points", digits: int = 6) -> None:
-    """One ARFF file's lines, header first, rows in id order (a text folder of one part)."""
+    """One ARFF file's lines, header first, rows in id order (a text folder of one part); an empty table gives the header alone."""
     spark = points.sparkSession
-    d = points.select(F.size("coords").alias("d")).first()["d"]
+    d = points.agg(F.coalesce(F.max(F.size("coords")), F.lit(0))).first()[0]
     labels = [str(r[0]) for r in points.select("true_label").distinct().orderBy("true_label").collect()]
     head = [f"@relation {relation}", "", *[f"@attribute x{k + 1} REAL" for k in range(d)], f"@attribute class {{{','.join(labels)}}}", "", "@data"]
     first = spark.createDataFrame([(-1, i, h) for i, h in enumerate(head)], "a long, b long, value string")
