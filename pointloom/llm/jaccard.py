@@ -1,13 +1,15 @@
 """N-gram Jaccard self-join: MinHash LSH forest for candidates, then exact verification.
 
 1. Texts with the same set of word shingles form one copy class; classes go on.
-2. A class's MinHash values are dealt to ``TREES`` tries. A pair at the threshold shares a
-   prefix of d values in some trie with probability 1 - (1 - s^d)^TREES; prefixes are
-   shortened from the deepest until this reaches ``RECALL``, and classes that share such a
-   prefix meet. There they stand sorted by their longer prefixes, so the closest come
-   first; those within a small distance of a leader are linked to it and represented by
-   it, and by the triangle inequality of the Jaccard distance no pair at the threshold is
-   lost if links to leaders are accepted from a correspondingly lower similarity.
+2. A class's MinHash values are labels of ``DEEPEST`` values in ``TREES`` tries. Rows sorted by
+   trie and label are the tries laid flat, cut over the tasks by ranges, so that a crowded
+   branch is many tasks' work. Classes meet where their labels agree deepest; then the
+   prefixes they share are shortened, a value at a time, until a pair at the threshold has met
+   with the target ``RECALL`` (1 - (1 - s^d)^TREES at depth d). A class very close to
+   a leader is linked to it and stops there: the leader stands for it on shorter prefixes. By
+   the triangle inequality of the Jaccard distance no pair at the threshold is lost
+   if links to leaders are accepted from a correspondingly lower similarity. Leaders of
+   branches that several tasks share meet in a second pass.
 3. The links' connected components are coarse clusters; within each, in blocks sorted by
    set size, all pairs are verified by exact intersections of the whole shingle sets.
    Blocks whose sizes cannot reach the threshold do not meet.
@@ -22,12 +24,13 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm import words
-from pointloom.llm.common import written
-from pointloom.llm.graph import components
+from pointloom.operators.points import running_sum
+from pointloom.plans.components import components, local_roots
+from pointloom.storage import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -36,8 +39,10 @@ TREES, DEEPEST, RECALL = 24, 8, 0.9999
 SKETCH = 60
 #: Distance up to which a class is represented by its leader, and room for estimation errors.
 ABSORBED, ROOM = 0.08, 0.17
-#: Classes in a block of the verification.
-BLOCK = 1024
+#: Rows of a branch that are compared at once, whatever their prefixes.
+FEW = 64
+#: Classes, and shingles of all their texts, in a block of the verification (a longer text is a block of its own).
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Characters handled at once in a worker.
 CHUNK = 4 << 20
 
@@ -96,9 +101,9 @@ def minhashes(values: np.ndarray, counts: np.ndarray, n: int, seed: int = 1) ->
     return out
 
 
-def sign(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def sign(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, text key, class (hash of its shingle set), set size and MinHash values; written."""
-    hashes = TREES * depth(similarity)
+    hashes = TREES * DEEPEST
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,26 +131,38 @@ def copy_classes(signed: DataFrame) -> DataFrame:
     return rows.select("class", "n", F.col("r.doc_id").alias("doc_id"), "r.text_key", "r.signature", "copies")
 
 
-def _spread(d: int, deepest: int):
+def _spread(d: int):
+    """Each class once a trie: key (trie and first d values), the label's other values, class and sketch."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 m = part.num_rows
-                values = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(m, TREES * d)
-                sketch = pa.array([r.tobytes() for r in values[:, :: max(1, TREES * d // SKETCH)][:, :SKETCH].astype(np.uint8)], pa.binary())
+                values = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(m, TREES, DEEPEST)
+                flat = values.reshape(m, -1)
+                sketch = _binary(flat[:, :: max(1, flat.shape[1] // SKETCH)][:, :SKETCH].astype(np.uint8))
                 for tree in range(TREES):
                     key = np.full(m, tree + 1, np.uint64)
                     for k in range(d):
-                        key = words.mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, tree * d + k].astype(np.uint64))
-                    longer = values[:, [(tree * d + k) % (TREES * d) for k in range(d, deepest)]].astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array([r.tobytes() for r in longer], pa.binary()), part.column("class"), sketch], ["key", "longer", "class", "sketch"]
-                    )
+                        key = words.mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, tree, k].astype(np.uint64))
+                    longer = _binary(values[:, tree, d:].astype(np.uint8))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), longer, part.column("class"), sketch], ["key", "longer", "class", "sketch"])
 
     return apply
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary column of a matrix's rows of bytes."""
+    m, width = rows.shape
+    ends = pa.py_buffer((np.arange(m + 1) * width).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), m, [None, ends, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _matrix(column: pa.ChunkedArray, start: int, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.slice(start, n).to_pylist()), np.uint8).reshape(n, -1)
+
+
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -171,39 +188,57 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _roots(near: np.ndarray) -> np.ndarray:
     """The least member of each member's component of a symmetric boolean matrix."""
-    label = np.arange(len(near))
-    while True:
-        least = np.minimum(label, np.where(near, label[None, :], len(near)).min(1, initial=len(near)))
-        least = np.minimum(least, least[least])
-        if (least == label).all():
-            return label
-        label = least
+    return local_roots(len(near), *np.nonzero(near))
+
 
+def branch_links(labels: np.ndarray, sketches: np.ndarray, similarity: float, fixed: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Spanning links (least member, member) of the likely similar rows of one branch, its leaders, and which of these stand for others.
 
-def bucket_links(classes: np.ndarray, sketches: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Spanning links of the likely similar classes of one bucket, which stands sorted by longer prefixes."""
+    ``labels`` (sorted) are the values below the branch. Rows meet where most values agree,
+    and those that are left without a leader meet again one value higher up. ``fixed`` rows
+    stand for others already, so no leader may stand for them.
+    """
     least = (similarity - ABSORBED - ROOM) * sketches.shape[1]
     close = (1 - ABSORBED) * sketches.shape[1]
-    union = _Union(len(classes))
-    leaders = np.empty(0, np.int64)
-    for start in range(0, len(classes), 256):
-        now = np.arange(start, min(start + 256, len(classes)))
-        if len(leaders):
-            same = _agreement(sketches[now], sketches[leaders])
-            roots = np.array([union.find(int(i)) for i in leaders])
-            for i, row in zip(now.tolist(), same >= least, strict=True):
-                for root in np.unique(roots[row]).tolist():
-                    union.join(i, root)
-            now = now[same.max(1) < close]
-        same = _agreement(sketches[now], sketches[now])
-        for i, root in enumerate(_roots(same >= least).tolist()):
-            union.join(int(now[i]), int(now[root]))
-        near, kept = same >= close, np.ones(len(now), bool)
-        for i in range(1, len(now)):
-            kept[i] = not (near[i, :i] & kept[:i]).any()
-        leaders = np.concatenate([leaders, now[kept]])
-    roots = [union.find(i) for i in range(len(classes))]
-    return [(int(classes[r]), int(classes[i])) for i, r in enumerate(roots) if r != i]
+    n = len(sketches)
+    union, stands = _Union(n), np.zeros(n, bool) if fixed is None else fixed.copy()
+
+    def meet(rows: np.ndarray) -> np.ndarray:
+        """Links the rows; gives those that no other stands for."""
+        rows = rows[np.argsort(~stands[rows], kind="stable")]
+        leaders = np.empty(0, np.int64)
+        for start in range(0, len(rows), 256):
+            now = rows[start : start + 256]
+            if len(leaders):
+                same = _agreement(sketches[now], sketches[leaders])
+                roots = np.array([union.find(int(i)) for i in leaders])
+                for i, row in zip(now.tolist(), same >= least, strict=True):
+                    for root in np.unique(roots[row]).tolist():
+                        union.join(i, root)
+                near = (same >= close) & ~stands[now][:, None]
+                stands[leaders[near.argmax(1)[near.any(1)]]] = True
+                now = now[~near.any(1)]
+            same = _agreement(sketches[now], sketches[now])
+            for i, root in enumerate(_roots(same >= least).tolist()):
+                union.join(int(now[i]), int(now[root]))
+            near, kept = same >= close, np.ones(len(now), bool)
+            for i in range(1, len(now)):
+                hits = np.flatnonzero(near[i, :i] & kept[:i])
+                if len(hits) and not stands[now[i]]:
+                    kept[i] = False
+                    stands[now[hits[0]]] = True
+            leaders = np.concatenate([leaders, now[kept]])
+        return leaders
+
+    live = np.arange(n)
+    for level in range(labels.shape[1] if n > FEW else 0, -1, -1):
+        new = np.ones(len(live), bool)
+        new[1:] = (labels[live[1:], :level] != labels[live[:-1], :level]).any(1)
+        cuts = np.append(np.flatnonzero(new), len(live)).tolist()
+        left = [meet(live[a:b]) if b - a > 1 else live[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        live = np.sort(np.concatenate(left))
+    roots = [union.find(i) for i in range(n)]
+    return [(r, i) for i, r in enumerate(roots) if r != i], live, stands[live]
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -226,32 +261,55 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def candidate_links(classes: DataFrame, similarity: float = SIMILARITY, tasks: int | None = None) -> DataFrame:
-    """Spanning links (a, b) of classes that may be similar."""
+def _meet(similarity: float, ends: bool):
+    """Links of each branch's classes; with ``ends``, also the leaders of a task's first and last branch, which other tasks may share."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(links: list[tuple[int, int]], leaders: list[tuple]) -> pa.RecordBatch:
+            a, b = zip(*links, strict=True) if links else ((), ())
+            key, one, longer, sketch, stands = zip(*leaders, strict=True) if leaders else ((), (), (), (), ())
+            none = [None] * len(a)
+            columns = [pa.array([*a, *one], pa.int64()), pa.array([*b, *[None] * len(one)], pa.int64()), pa.array([*none, *key], pa.int64())]
+            columns += [pa.array([*none, *longer], pa.binary()), pa.array([*none, *sketch], pa.binary()), pa.array([*none, *stands], pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "longer", "sketch", "stands"])
+
+        opening, last = True, []
         for rows in _by_key(batches, ["key"]):
             key = rows.column("key").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, len(key)))
-            many = np.flatnonzero(sizes > 1)
-            if not len(many):
-                continue
             number = rows.column("class").to_numpy()
-            sketch = rows.column("sketch").combine_chunks()
-            found: list[tuple[int, int]] = []
-            for s, n in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
-                raw = b"".join(sketch.slice(s, n).to_pylist())
-                found += bucket_links(number[s : s + n], np.frombuffer(raw, np.uint8).reshape(n, -1), similarity)
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    d = depth(similarity)
-    spread = classes.where("n > 0").select("class", "signature").mapInArrow(_spread(d, DEEPEST), "key long, longer binary, class long, sketch binary")
+            fixed = rows.column("stands").to_numpy() if "stands" in rows.column_names else None
+            edge = {0, len(starts) - 1} if ends else set()
+            links: list[tuple[int, int]] = []
+            leaders: list[tuple] = []
+            for g in np.union1d(np.flatnonzero(sizes > 1), sorted(edge)).astype(int).tolist():
+                s, n = int(starts[g]), int(sizes[g])
+                labels, sketches = _matrix(rows.column("longer"), s, n), _matrix(rows.column("sketch"), s, n)
+                found, live, stands = branch_links(labels, sketches, similarity, None if fixed is None else fixed[s : s + n])
+                links += [(int(number[s + i]), int(number[s + j])) for i, j in found]
+                if g in edge:
+                    led = [(int(key[s]), int(number[s + i]), labels[i].tobytes(), sketches[i].tobytes(), bool(y)) for i, y in zip(live.tolist(), stands.tolist(), strict=True)]
+                    leaders, last = leaders + (led if opening else []), [] if opening and len(starts) == 1 else led
+                    opening = False
+            if links or leaders:
+                yield out(links, leaders)
+        if last:
+            yield out([], last)
+
+    return apply
+
+
+def candidate_links(classes: DataFrame, similarity: float = SIMILARITY, tasks: int | None = None) -> DataFrame:
+    """Spanning links (a, b) of classes that may be similar."""
+    found = "a long, b long, key long, longer binary, sketch binary, stands boolean"
     tasks = tasks or int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = spread.repartition(tasks, "key").sortWithinPartitions("key", "longer", "class").mapInArrow(meet, "a long, b long")
-    return met.distinct()
+    spread = classes.where("n > 0").select("class", "signature").mapInArrow(_spread(depth(similarity)), "key long, longer binary, class long, sketch binary")
+    order = ("key", "longer", "class")
+    met = written(spread.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_meet(similarity, True), found), "met")
+    shared = met.where("b is null").select("key", "longer", F.col("a").alias("class"), "sketch", "stands")
+    again = shared.repartition(tasks, "key").sortWithinPartitions(*order).mapInArrow(_meet(similarity, False), found)
+    return met.where("b is not null").select("a", "b").unionByName(again.select("a", "b"))
 
 
 def similar_pairs(values: np.ndarray, counts: np.ndarray, similarity: Fraction, side: np.ndarray | None = None) -> np.ndarray:
@@ -310,19 +368,22 @@ def verify(docs: DataFrame, classes: DataFrame, clusters: DataFrame, similarity:
                 yield pa.RecordBatch.from_arrays([pa.array(number[a:b][some]), pa.array(number[a:b][roots]), pa.array(links[some].astype(np.int64))], ["class", "root", "links"])
 
     members = classes.drop("signature").join(clusters.select(F.col("node").alias("class"), "root"), "class")
-    sizes = members.groupBy("root").agg(F.count("*").alias("m"))
-    large = sizes.where(F.col("m") > BLOCK)
-    nth = F.row_number().over(Window.partitionBy("root").orderBy("n", "class")) - 1
-    big = members.join(large, "root").withColumn("block", F.floor(nth / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    members = members.withColumn("weight", F.greatest(F.lit(BLOCK_SHINGLES // BLOCK).cast("long"), F.col("n")))
+    large = members.groupBy("root").agg(F.sum("weight").alias("m")).where(F.col("m") > BLOCK_SHINGLES).select("root")
+    # positions over range partitions, less those before the cluster: no cluster is numbered by one task
+    summed = written(running_sum(members.join(large, "root"), "weight", "root", "n", "class", name="upto"), "summed")
+    base = summed.groupBy("root").agg(F.min(F.col("upto") - F.col("weight")).alias("base"))
+    big = summed.join(base, "root").withColumn("block", F.floor((F.col("upto") - F.col("weight") - F.col("base")) / BLOCK_SHINGLES).cast("int"))
+    big = big.drop("upto", "base", "weight")
     spans = big.groupBy("root", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     left, right = (spans.select("root", F.col("block").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in ("low", "high"))
     p, q = exact.numerator, exact.denominator
     pairs = left.join(right, "root").where((F.col("low") <= F.col("high")) & (F.col("hi_low") * q >= F.col("lo_high") * p)).select("root", "low", "high")
     ends = F.array_distinct(F.array("low", "high"))
     tasks_of = pairs.select("root", "low", "high", F.explode(ends).alias("block"))
-    big = big.drop("m", "blocks").join(tasks_of, ["root", "block"])
+    big = big.join(tasks_of, ["root", "block"])
     zero = F.lit(0)
-    small = members.join(large, "root", "left_anti").withColumns({"block": zero, "low": zero, "high": zero})
+    small = members.drop("weight").join(large, "root", "left_anti").withColumns({"block": zero, "low": zero, "high": zero})
     wanted = small.unionByName(big)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     wanted = wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1 << 63)))
@@ -339,7 +400,7 @@ def has_repeats(docs: DataFrame) -> bool:
 
 def _connected(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and each copy class (class, n, copy_id, text_key, copies, links) with the root of its component."""
-    signed = sign(docs, similarity)
+    signed = sign(docs)
     classes = written(copy_classes(signed), "classes")
     clusters = components(candidate_links(classes, similarity))
     verified = written(verify(docs, classes, clusters, similarity), "verified")

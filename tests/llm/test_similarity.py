@@ -45,6 +45,7 @@ def test_keep_one_keeps_a_row_of_each_text_whatever_its_id(spark):
 
 def test_blocks_of_a_large_cluster_meet(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 8 * 60)
     rng = random.Random(7)
     base = prose(rng, 60).split()
     texts = [" ".join(base[:k] + [f"v{k}"] + base[k + 1 :]) for k in range(40)]
@@ -116,3 +117,57 @@ def test_retrieval_skips_nothing(items):
             for k in range(index.first[b], index.first[b + 1]):
                 dense[a, index.item[k]] += index.share[k]
         assert got == set(zip(*(x.tolist() for x in np.nonzero(dense >= 0.3 - 1e-9))))
+
+
+def edited(rng, words, changes, tag):
+    """The words with some replaced, far enough apart that each costs five shingles."""
+    out = list(words)
+    for k in rng.sample(range(2, len(words) // 5 - 1), changes):
+        out[5 * k] = f"{tag}{k}"
+    return out
+
+
+def test_recall_on_thousands_of_pairs_at_the_threshold(spark):
+    """4,000 pairs of similarity 0.80 to 0.85, half of them with several very close copies that a leader stands for."""
+    rng = random.Random(41)
+    rows, want = [], 0
+    for g in range(4000):
+        n = rng.choice([88, 94, 100, 112])
+        base = [f"g{g}w{k}" for k in range(n + 4)]
+        total = n
+        changes = next(c for c in range(1, 9) if 100 * (total - 5 * (c + 1)) < 80 * (total + 5 * (c + 1)))
+        rows.append((g, 0, base))
+        rows.append((g, 1, edited(rng, base, changes, "x")))
+        if g % 2:
+            rows += [(g, 2 + k, [*base, f"tail{k}"]) for k in range(3)]
+        want += 1
+    sets = {(g, k): shingles(" ".join(w)) for g, k, w in rows}
+    docs = spark.createDataFrame([(8 * g + k, " ".join(w)) for g, k, w in rows], "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["links"] for r in jaccard.join(docs).collect()}
+    short = 0
+    for g, k in sets:
+        near = sum(10 * len(sets[g, k] & sets[g, j]) >= 8 * len(sets[g, k] | sets[g, j]) for j in range(5) if (g, j) in sets and j != k)
+        assert got[8 * g + k] <= near
+        short += near - got[8 * g + k]
+    total = sum(got.values()) + short
+    assert total > 15_000 and short <= 0.002 * total, (short, total)
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_branches_that_tasks_share(spark, monkeypatch, few):
+    """One cluster of near copies in a branch cut over many tasks: all links are found, whatever the prefixes compared first."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rng = random.Random(17)
+    base = [f"b{k}" for k in range(150)]
+    texts = [" ".join(edited(rng, base, rng.randint(0, 3), f"c{i}x")) for i in range(300)] + [prose(rng, 40) for _ in range(100)]
+    sets = [shingles(t) for t in texts]
+    want = {i: sum(i != j and 10 * len(a & b) >= 8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = {r["doc_id"]: r["links"] for r in jaccard.join(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
