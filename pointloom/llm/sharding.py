@@ -1,9 +1,11 @@
-"""Two-pass external shuffle into shards, in DataFrame functions alone.
-
-Pass one scatters rows by a seeded hash into buckets of about ``bucket_bytes`` and
-writes them. Pass two puts each bucket into a fixed order, applies Spark's
-Fisher-Yates ``shuffle`` to its places, and so gives every row a place in one global
-random order; shards and slots follow from that order by one of three laws.
+"""Two-pass external shuffle of whole records into shards, in DataFrame functions alone.
+
+Pass one scatters the records by a seeded hash into buckets of about ``bucket_bytes``: one
+shuffle, which is the only time a text travels. Pass two takes each bucket into memory as
+an array in a fixed order, applies Spark's Fisher-Yates ``shuffle`` to it, and writes it
+out by shard. Buckets follow each other, so every record has a place in one global random
+order; shards and slots follow from that order by one of three laws. Sizes of
+buckets are counted beforehand, from ids and lengths alone.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import new_folder, text_or_empty, written
+from pointloom.llm.common import new_folder, text_or_empty
 
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 LAWS = ("bytes", "rows", "key")
 
 
@@ -23,79 +25,99 @@ def key_shard(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(draws)["shard"].cast("int")
 
 
-def scatter(docs: DataFrame, seed: int, bucket_bytes: int, with_text: bool = False) -> DataFrame:
-    """Pass one: every row with its size and bucket, written. Rows that repeat exactly still spread, by their place in the input."""
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text_or_empty()) + 1).cast("long").alias("size"),
-        F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("__at"),
-        *(["text"] if with_text else []),
-    )
-    total = docs.agg(F.sum(F.octet_length(text_or_empty()) + F.lit(1).cast("long"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "__at"), F.lit(buckets)).cast("int")
-    return written(sized.withColumn("__bucket", bucket), "scatter")
+def scatter(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """The records (doc_id, text) with __size and __bucket, and the number of buckets.
+
+    A record's place in its bucket's fixed order (__at) and its bucket are drawn from its
+    id and its place in the input, so rows that repeat exactly still spread.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("__nth"))
+    rows = rows.withColumn("__size", (F.octet_length(text_or_empty()) + 1).cast("long"))
+    buckets = max(1, -(-(rows.agg(F.sum("__size")).first()[0] or 0) // bucket_bytes))
+    draw = F.xxhash64(F.lit(seed), "doc_id", "__nth")
+    return rows.withColumn("__bucket", F.pmod(draw, F.lit(buckets)).cast("int")).withColumn("__at", F.xxhash64(F.lit(seed + 1), "doc_id", "__nth")), buckets
 
 
-def shuffled(scattered: DataFrame, seed: int) -> DataFrame:
-    """Pass two: rows with __bucket and __place, the place in their bucket after a Fisher-Yates shuffle.
+def shuffled(scattered: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """Pass two: doc_id, text, __size, __bucket and __place, the place in the bucket after a Fisher-Yates shuffle.
 
-    ``shuffle`` draws from its seed and the task's number, so the buckets stand in a fixed
-    order in a fixed number of partitions when they are shuffled, and the result is written.
+    ``shuffle`` draws from its seed and the task's number, one bucket after the other, so buckets
+    stand in order in their tasks and their rows in a fixed order before it: a task that is
+    run again gives the same.
     """
-    sizes = scattered.groupBy("__bucket").agg(F.count("*").cast("int").alias("__n"))
-    tasks = scattered.sparkSession.sparkContext.defaultParallelism
-    orders = sizes.repartition(tasks, "__bucket").sortWithinPartitions("__bucket")
-    orders = written(orders.select("__bucket", F.shuffle(F.sequence(F.lit(0), F.col("__n") - 1), seed).alias("__order")), "orders")
-    fixed = Window.partitionBy("__bucket").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32", "__at"), "__at")
-    rows = scattered.withColumn("__nth", F.row_number().over(fixed))
-    places = orders.select("__bucket", F.posexplode("__order").alias("__nth", "__place"))
-    return rows.join(places.withColumn("__nth", F.col("__nth") + 1), ["__bucket", "__nth"]).drop("__nth", "__at")
-
-
-def shard(docs: DataFrame, shards: int = 8, law: str = "rows", seed: int = 7, bucket_bytes: int = BUCKET_BYTES, with_text: bool = False) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text; other columns are not read) with shard and slot.
-
-    Laws: ``rows`` (counts at most one apart), ``bytes`` (each shard's bytes within one
-    row of an equal share), ``key`` (doc_id alone decides; ``grown_shard`` is the shard
-    under one more). Slots of a shard are gapless from 0, in the shuffled order. A null
-    text is empty (size 1); a null doc_id is one key; repeated rows are kept apart under
-    ``rows`` and ``bytes``. Empty tables give empty results.
+    row = F.struct("__at", "__nth", "doc_id", "text", "__size")
+    tasks = min(buckets, 20_000)
+    held = scattered.repartition(tasks, "__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list(row)).alias("__rows"))
+    held = held.sortWithinPartitions("__bucket")
+    out = held.select("__bucket", F.posexplode(F.shuffle("__rows", seed)).alias("__place", "__row"))
+    return out.select("__bucket", "__place", "__row.doc_id", "__row.text", "__row.__size")
+
+
+def _before(what: str, *by: str) -> Column:
+    """The sum of ``what`` over the buckets before."""
+    window = Window.partitionBy(*by) if by else Window
+    return F.coalesce(F.sum(what).over(window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def write_shards(docs: DataFrame, path: str | None = None, shards: int = 8, law: str = "rows", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> str:
+    """Writes the records of ``docs`` (doc_id, text; other columns are not read) in shuffled order, a folder per shard, and returns the path.
+
+    Files hold doc_id, text, grown_shard and __slot, in the order of __slot; a bucket writes one
+    file a shard. Laws: ``rows`` (counts at most one apart), ``bytes`` (each shard's bytes within one
+    record of an equal share), ``key`` (doc_id alone decides; grown_shard is the shard under one
+    more). ``read_shards`` gives the records with their slots.
     """
     if law not in LAWS or shards < 1:
         raise ValueError(f"law must be one of {LAWS}, shards at least 1")
-    rows = shuffled(scatter(docs, seed, bucket_bytes, with_text), seed)
+    path = path or new_folder(docs.sparkSession, "shards")
+    scattered, buckets = scatter(docs, seed, bucket_bytes)
+    rows = shuffled(scattered, buckets, seed)
+    by = Window.partitionBy("__bucket").orderBy("__place")
+    shard = key_shard(F.col("doc_id"), shards, seed)
+    grown = key_shard(F.col("doc_id"), shards + 1, seed) if law == "key" else F.lit(None).cast("int")
+    digests = scattered.select("__bucket", "__size", *([shard.alias("shard")] if law == "key" else []))
     if law == "key":
-        rows = rows.withColumn("shard", key_shard(F.col("doc_id"), shards, seed)).withColumn("grown_shard", key_shard(F.col("doc_id"), shards + 1, seed))
+        sizes = digests.groupBy("__bucket", "shard").agg(F.count("*").alias("__n"))
+        bases = sizes.select("__bucket", "shard", _before("__n", "shard").alias("__base"))
+        nth = F.row_number().over(Window.partitionBy("__bucket", "shard").orderBy("__place")) - 1
+        rows = rows.withColumn("shard", shard).withColumn("__here", nth).join(bases, ["__bucket", "shard"])
+        rows = rows.withColumn("__slot", F.col("__base") + F.col("__here"))
     else:
-        rows = rows.withColumn("grown_shard", F.lit(None).cast("int"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # over buckets, not rows
-    in_bucket = Window.partitionBy("__bucket").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
-    out = ["doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long"), "grown_shard", *(["text"] if with_text else [])]
-    if law == "rows":
-        sizes = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
-        bases = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-        at = F.col("__base") + F.col("__place")
-        rows = rows.join(bases, "__bucket").withColumn("shard", F.pmod(at, F.lit(shards)).cast("int")).withColumn("slot", F.floor(at / shards))
-        return rows.select(*out)
-    if law == "bytes":
-        sizes = rows.groupBy("__bucket").agg(F.sum("size").alias("__n"))
-        bases = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-        start = F.col("__base") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0))
-        rows = rows.join(bases, "__bucket").withColumn("shard", F.least(F.lit(shards - 1), F.floor(start * shards / F.col("__all"))).cast("int"))
-    sizes = rows.groupBy("__bucket", "shard").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("__bucket", "shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    nth = F.row_number().over(Window.partitionBy("__bucket", "shard").orderBy("__place")) - 1
-    return rows.withColumn("__nth", nth).join(bases, ["__bucket", "shard"]).withColumn("slot", F.col("__first") + F.col("__nth")).select(*out)
-
-
-def write_shards(docs: DataFrame, path: str | None = None, **options) -> str:
-    """Writes the shuffled documents as Parquet, one folder per shard, rows in slot order within each file."""
-    path = path or new_folder(docs.sparkSession, "shards")
-    rows = shard(docs, with_text=True, **options)
-    chunk = F.floor(F.col("slot") / 100_000)
-    spread = rows.repartition(rows.rdd.getNumPartitions(), "shard", chunk).sortWithinPartitions("shard", "slot")
-    spread.write.partitionBy("shard").parquet(path)
+        sizes = digests.groupBy("__bucket").agg(F.count("*").alias("__n"), F.sum("__size").alias("__bytes"))
+        bases = sizes.select("__bucket", _before("__n").alias("__base"), _before("__bytes").alias("__low"), F.sum("__bytes").over(Window.partitionBy()).alias("__all"))
+        if law == "bytes":
+            start = F.coalesce(F.sum("__size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            rows = rows.withColumn("__start", start)
+        rows = rows.join(bases, "__bucket").withColumn("__slot", F.col("__base") + F.col("__place"))
+        if law == "rows":
+            rows = rows.withColumn("shard", F.pmod("__slot", F.lit(shards)).cast("int")).withColumn("__slot", F.floor(F.col("__slot") / shards))
+        else:
+            share = (F.col("__low") + F.col("__start")).cast("decimal(38,0)") * shards / F.col("__all")
+            rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.floor(share)).cast("int"))
+    out = rows.select("doc_id", "text", grown.alias("grown_shard"), F.col("__slot").cast("long").alias("__slot"), "shard")
+    out.sortWithinPartitions("shard", "__slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return path
+
+
+def read_shards(spark, path: str, law: str) -> DataFrame:
+    """The written records: doc_id, text, shard, slot (gapless from 0 in each shard), grown_shard."""
+    rows = spark.read.schema("doc_id long, text string, grown_shard int, __slot long, shard int").parquet(path)
+    if law != "bytes":
+        return rows.withColumnRenamed("__slot", "slot")
+    first = rows.groupBy("shard").agg(F.min("__slot").alias("__first"))  # a row per shard
+    return rows.join(F.broadcast(first), "shard").select("doc_id", "text", "grown_shard", (F.col("__slot") - F.col("__first")).alias("slot"), "shard")
+
+
+def shard(docs: DataFrame, shards: int = 8, law: str = "rows", seed: int = 7, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
+    """Writes the shards, reads them back, and gives each record's digest: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+
+    Slots of a shard are gapless from 0, in the shuffled order. A null text is empty (size
+    1); a null doc_id is one key; repeated rows are kept apart under ``rows`` and ``bytes``.
+    Records with equal texts have equal text_crc32 and go where the law puts each.
+    Empty tables give empty results.
+    """
+    path = write_shards(docs, path, shards, law, seed, bucket_bytes)
+    rows = read_shards(docs.sparkSession, path, law)
+    size = (F.octet_length(text_or_empty()) + 1).cast("long")
+    crc = F.crc32(text_or_empty().cast("binary"))
+    return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit(law).alias("law"), "shard", "slot", "grown_shard")

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,9 +89,35 @@ def test_sharding_laws(stored, rows, law):
     assert Counter(map(tuple, again)) == Counter(map(tuple, out))
 
 
-def test_shards_are_shuffled_and_written(spark, stored):
-    path = sharding.write_shards(stored, law="rows", bucket_bytes=2000)
-    assert spark.read.parquet(path).count() == stored.count()
+@pytest.mark.parametrize("law", sharding.LAWS)
+def test_written_shards_hold_the_texts_in_a_random_order(spark, stored, rows, law, tmp_path):
+    path = sharding.write_shards(stored, str(tmp_path / law), law=law, shards=3, bucket_bytes=2000)
+    found = sharding.read_shards(spark, path, law).collect()
+    assert Counter((d, t) for d, t in rows) == Counter((r["doc_id"], r["text"]) for r in found)
+    for file in (tmp_path / law).rglob("*.parquet"):  # each file stands in the order of its slots
+        slots = pq.read_table(file, columns=["__slot"])["__slot"].to_pylist()
+        assert slots == sorted(slots)
+    for shard in range(3):
+        ids = [r["doc_id"] for r in sorted(found, key=lambda r: r["slot"]) if r["shard"] == shard and r["doc_id"] is not None]
+        falls = sum(a > b for a, b in zip(ids, ids[1:]))
+        assert len(ids) < 4 or 0.25 * len(ids) < falls < 0.75 * len(ids)  # an order of its own, neither the input's nor its reverse
+    other = sharding.read_shards(spark, sharding.write_shards(stored, law=law, shards=3, seed=8, bucket_bytes=2000), law)
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in other.collect()} != {(r["doc_id"], r["shard"], r["slot"]) for r in found}
+
+
+def test_places_in_a_bucket_are_uniform(spark):
+    """Fisher-Yates over one bucket: over 200 buckets of 6 rows, each row stands at each place about equally often."""
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"))
+    scattered, buckets = sharding.scatter(docs, 3, 60)
+    by = defaultdict(dict)
+    for r in sharding.shuffled(scattered, buckets, 3).collect():
+        by[r["__bucket"]][r["__place"]] = r["doc_id"]
+    assert all(sorted(b) == list(range(len(b))) for b in by.values())
+    first = Counter(sorted(b.values()).index(b[0]) for b in by.values() if len(b) == 6)
+    assert len(by) > 190 and len(first) == 6
+
+
+def test_empty_shards_and_unknown_laws(stored):
     assert sharding.shard(stored.limit(0)).count() == 0
     with pytest.raises(ValueError):
         sharding.shard(stored, law="none")
