@@ -38,19 +38,21 @@ def scatter(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame, i
     return rows.withColumn("__bucket", F.pmod(draw, F.lit(buckets)).cast("int")).withColumn("__at", F.xxhash64(F.lit(seed + 1), "doc_id", "__nth")), buckets
 
 
-def shuffled(scattered: DataFrame, buckets: int, seed: int) -> DataFrame:
+def shuffled(scattered: DataFrame, buckets: int, seed: int, bases: DataFrame | None = None) -> DataFrame:
     """Pass two: doc_id, text, __size, __bucket and __place, the place in the bucket after a Fisher-Yates shuffle.
 
-    ``shuffle`` draws from its seed and the task's number, one bucket after the other, so buckets
-    stand in order in their tasks and their rows in a fixed order before it: a task that is
-    run again gives the same.
+    ``shuffle`` draws from its seed and the task's number; every bucket is a task of its own
+    and its rows stand in a fixed order before, so a task that is run again gives the same.
+    ``bases`` (__bucket, __base: one struct a bucket) travels with the records, without a join.
     """
     row = F.struct("__at", "__nth", "doc_id", "text", "__size")
-    tasks = min(buckets, 20_000)
-    held = scattered.repartition(tasks, "__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list(row)).alias("__rows"))
-    held = held.sortWithinPartitions("__bucket")
-    out = held.select("__bucket", F.posexplode(F.shuffle("__rows", seed)).alias("__place", "__row"))
-    return out.select("__bucket", "__place", "__row.doc_id", "__row.text", "__row.__size")
+    if bases is not None:
+        scattered = scattered.unionByName(bases, allowMissingColumns=True)
+    held = scattered.repartitionById(buckets, "__bucket").groupBy("__bucket")
+    rows = F.sort_array(F.collect_list(F.when(F.col("__nth").isNotNull(), row))).alias("__rows")  # null: not collected
+    held = held.agg(rows, *([F.first("__base", ignorenulls=True).alias("__base")] if bases is not None else []))
+    out = held.select("__bucket", F.posexplode(F.shuffle("__rows", seed)).alias("__place", "__row"), *(["__base"] if bases is not None else []))
+    return out.select("__bucket", "__place", "__row.doc_id", "__row.text", "__row.__size", *(["__base"] if bases is not None else []))
 
 
 def _before(what: str, *by: str) -> Column:
@@ -71,28 +73,26 @@ def write_shards(docs: DataFrame, path: str | None = None, shards: int = 8, law:
         raise ValueError(f"law must be one of {LAWS}, shards at least 1")
     path = path or new_folder(docs.sparkSession, "shards")
     scattered, buckets = scatter(docs, seed, bucket_bytes)
-    rows = shuffled(scattered, buckets, seed)
-    by = Window.partitionBy("__bucket").orderBy("__place")
     shard = key_shard(F.col("doc_id"), shards, seed)
     grown = key_shard(F.col("doc_id"), shards + 1, seed) if law == "key" else F.lit(None).cast("int")
-    digests = scattered.select("__bucket", "__size", *([shard.alias("shard")] if law == "key" else []))
     if law == "key":
-        sizes = digests.groupBy("__bucket", "shard").agg(F.count("*").alias("__n"))
-        bases = sizes.select("__bucket", "shard", _before("__n", "shard").alias("__base"))
+        sizes = scattered.select("__bucket", shard.alias("shard")).groupBy("__bucket", "shard").agg(F.count("*").alias("__n"))
+        sizes = sizes.select("__bucket", F.struct("shard", _before("__n", "shard").alias("base")).alias("entry"))
+        bases = sizes.groupBy("__bucket").agg(F.map_from_entries(F.collect_list("entry")).alias("bases"))  # at most a shard's entry each
+        rows = shuffled(scattered, buckets, seed, bases.select("__bucket", F.struct("bases").alias("__base")))
         nth = F.row_number().over(Window.partitionBy("__bucket", "shard").orderBy("__place")) - 1
-        rows = rows.withColumn("shard", shard).withColumn("__here", nth).join(bases, ["__bucket", "shard"])
-        rows = rows.withColumn("__slot", F.col("__base") + F.col("__here"))
+        rows = rows.withColumn("shard", shard).withColumn("__slot", F.element_at("__base.bases", F.col("shard")) + nth)
     else:
-        sizes = digests.groupBy("__bucket").agg(F.count("*").alias("__n"), F.sum("__size").alias("__bytes"))
-        bases = sizes.select("__bucket", _before("__n").alias("__base"), _before("__bytes").alias("__low"), F.sum("__bytes").over(Window.partitionBy()).alias("__all"))
-        if law == "bytes":
-            start = F.coalesce(F.sum("__size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            rows = rows.withColumn("__start", start)
-        rows = rows.join(bases, "__bucket").withColumn("__slot", F.col("__base") + F.col("__place"))
+        sizes = scattered.groupBy("__bucket").agg(F.count("*").alias("__n"), F.sum("__size").alias("__bytes"))
+        bases = F.struct(_before("__n").alias("rows"), _before("__bytes").alias("low"), F.sum("__bytes").over(Window.partitionBy()).alias("all"))
+        rows = shuffled(scattered, buckets, seed, sizes.select("__bucket", bases.alias("__base")))
+        rows = rows.withColumn("__slot", F.col("__base.rows") + F.col("__place"))
         if law == "rows":
             rows = rows.withColumn("shard", F.pmod("__slot", F.lit(shards)).cast("int")).withColumn("__slot", F.floor(F.col("__slot") / shards))
         else:
-            share = (F.col("__low") + F.col("__start")).cast("decimal(38,0)") * shards / F.col("__all")
+            by = Window.partitionBy("__bucket").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+            start = F.col("__base.low") + F.coalesce(F.sum("__size").over(by), F.lit(0))
+            share = start.cast("decimal(38,0)") * shards / F.col("__base.all")
             rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.floor(share)).cast("int"))
     out = rows.select("doc_id", "text", grown.alias("grown_shard"), F.col("__slot").cast("long").alias("__slot"), "shard")
     out.sortWithinPartitions("shard", "__slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
