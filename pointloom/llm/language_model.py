@@ -6,12 +6,13 @@ with weights by the bucket b of the context's frequency. The weights are learned
 expectation-maximisation on deleted counts: each training token is predicted from the
 counts without itself, so every training token is held out once.
 
-Counting is an exchange between batches of texts and n-gram partitions. A batch sends
-each partition its distinct n-grams there, once, with their training counts (so a very
-frequent n-gram costs a row entry per batch, never a row per occurrence); the partition
-adds up and answers every batch in the order it asked. Nothing of the counts is
-broadcast or collected; the driver sees the counts' totals and a histogram of bounded
-size that the weights are learned from.
+Counting is an exchange between batches of texts and n-gram partitions. Batches are cut
+once and written. A batch sends each partition its distinct n-grams there, once, with
+their training counts (so a very frequent n-gram costs a row entry per batch, never a row
+per occurrence); the partition adds up and answers every batch in the order it asked.
+There are as many partitions as the corpus needs for each to stay of one size. Nothing
+of the counts is broadcast or collected; the driver sees the counts' totals and a
+histogram of bounded size that the weights are learned from.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from pointloom.llm import words
 from pointloom.llm.common import digits_crc, written
 
-#: Characters of a batch; bounds a worker's memory.
-BATCH = 12 << 20
+#: Characters of a batch, and of the corpus for each n-gram partition; they bound a worker's memory.
+BATCH, PARTITION = 12 << 20, 16 << 20
 BUCKETS = 24
 #: Bins of the logarithm of a probability in the histogram for the weights.
 BINS, BIN_WIDTH = 120, 0.2
@@ -94,27 +95,56 @@ def _distinct(texts: list[str | None], train: np.ndarray):
     return token, counts, out
 
 
-def ask(docs: DataFrame, partitions: int) -> DataFrame:
-    """Each batch's distinct n-grams by partition: the leading bits of the hash."""
-    cuts = np.array([(i << 64) // partitions for i in range(1, partitions)], np.uint64)
+def batched(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, train) in packed batches, a row each; written, so that all later steps see the same."""
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, rows in _batches(frames):
-            _, _, grams = _distinct(rows["text"].tolist(), rows["train"].to_numpy(bool))
-            bounds = [np.concatenate([[0], np.searchsorted(known, cuts), [len(known)]]) for known, _, _ in grams]
-            out = []
-            for p in range(partitions):
-                row = [p, batch]
-                for (known, n, _), at in zip(grams, bounds, strict=True):
-                    mine = known[at[p] : at[p + 1]]
-                    row += [_pack(np.diff(mine, prepend=np.uint64(0))), _pack(n[at[p] : at[p + 1]])]
-                out.append(row)
-            yield pd.DataFrame(out, columns=["p", "batch", "one", "n_one", "two", "n_two"])
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]
+            sizes = np.array([len(r) for r in raw], np.int64)
+            ids = rows["doc_id"].astype("Int64")
+            yield pd.DataFrame({
+                "batch": [batch], "ids": [_pack(ids.fillna(0).to_numpy(np.int64))], "null": [_pack(ids.isna().to_numpy(np.uint8))],
+                "train": [_pack(rows["train"].to_numpy(np.uint8))], "sizes": [_pack(sizes)], "bytes": [int(sizes.sum())], "raw": [zstandard.compress(b"".join(raw), 3)],
+            })
+
+    return written(docs.mapInPandas(texts, "batch long, ids binary, null binary, train binary, sizes binary, bytes long, raw binary"), "batches")
+
+
+def _grams(row) -> tuple[np.ndarray, np.ndarray, list]:
+    """A batch's train flags, each text's number of tokens, and its distinct n-grams; see _distinct."""
+    train = _unpack(row["train"], "u1").astype(bool)
+    ends = np.cumsum(_unpack(row["sizes"], "i8")).tolist()
+    raw = zstandard.decompress(row["raw"])
+    texts = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    _, counts, grams = _distinct(texts, train)
+    return train, counts, grams
 
-    return docs.mapInPandas(apply, "p int, batch long, one binary, n_one binary, two binary, n_two binary")
 
+def ask(batches: DataFrame, partitions: int) -> DataFrame:
+    """Each batch's distinct n-grams by partition: the leading bits of the hash."""
+    cuts = np.array([(i << 64) // partitions for i in range(1, partitions)], np.uint64)
 
-def answer(asked: DataFrame, partitions: int) -> DataFrame:
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, batch in frame.iterrows():
+                grams = _grams(batch)[2]
+                bounds = [np.concatenate([[0], np.searchsorted(known, cuts), [len(known)]]) for known, _, _ in grams]
+                out = []
+                for p in range(partitions):
+                    row = [p, batch["batch"]]
+                    for (known, n, _), at in zip(grams, bounds, strict=True):
+                        mine = known[at[p] : at[p + 1]]
+                        row += [_pack(np.diff(mine, prepend=np.uint64(0))), _pack(n[at[p] : at[p + 1]])]
+                    out.append(row)
+                    if len(out) == 256 or p == partitions - 1:
+                        yield pd.DataFrame(out, columns=["p", "batch", "one", "n_one", "two", "n_two"])
+                        out = []
+
+    return batches.select("batch", "train", "sizes", "raw").mapInPandas(apply, "p int, batch long, one binary, n_one binary, two binary, n_two binary")
+
+
+def answer(asked: DataFrame) -> DataFrame:
     """Every batch's answer from each partition: its n-grams' training counts, and the partition's number of training tokens and types."""
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
@@ -134,40 +164,21 @@ def answer(asked: DataFrame, partitions: int) -> DataFrame:
     return asked.groupBy("p").applyInPandas(total, "batch long, p int, one binary, two binary, tokens long, types long")
 
 
-def counted(docs: DataFrame, partitions: int) -> DataFrame:
+def counted(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """A row per document: doc_id, train, number of tokens, and packed training counts of its tokens and 2-grams; written.
 
-    ``docs`` (doc_id, text, train) is read twice and must give the same partitions both
-    times (a table does); a batch that doesn't match its answers is an error.
+    ``docs`` (doc_id, text, train) is read once; a task that is run again later reads the written
+    batches, so it asks and looks up the same however the input came about.
     """
 
-    def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, rows in _batches(frames):
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in rows["text"]]
-            sizes = np.array([len(r) for r in raw], np.int64)
-            ids = rows["doc_id"].astype("Int64")
-            yield pd.DataFrame({
-                "batch": [batch], "ids": [_pack(ids.fillna(0).to_numpy(np.int64))], "null": [_pack(ids.isna().to_numpy(np.uint8))],
-                "train": [_pack(rows["train"].to_numpy(np.uint8))], "sizes": [_pack(sizes)], "raw": [zstandard.compress(b"".join(raw), 3)],
-            })
-
     def look_up(key, state: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if len(state) != 1 or sorted(answers["p"]) != list(range(partitions)):
-            raise RuntimeError("the documents changed between two readings; write them to a table first")
         row = state.iloc[0]
         answers = answers.sort_values("p")
-        ids, null, train = _unpack(row["ids"], "i8"), _unpack(row["null"], "u1").astype(bool), _unpack(row["train"], "u1").astype(bool)
-        ends = np.cumsum(_unpack(row["sizes"], "i8"))
-        raw = zstandard.decompress(row["raw"])
-        all_texts = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        del raw
-        _, counts, grams = _distinct(all_texts, train)
+        ids, null = _unpack(row["ids"], "i8"), _unpack(row["null"], "u1").astype(bool)
+        train, counts, grams = _grams(row)
         places = []
-        for name, (known, _, inverse) in zip(("one", "two"), grams, strict=True):
-            sums = np.concatenate([_unpack(r, "u8") for r in answers[name]])
-            if len(sums) != len(known):
-                raise RuntimeError("the documents changed between two readings; write them to a table first")
-            places.append(sums[inverse])
+        for name, (_, _, inverse) in zip(("one", "two"), grams, strict=True):
+            places.append(np.concatenate([_unpack(r, "u8") for r in answers[name]])[inverse])
         cuts = np.cumsum(counts)[:-1]
         out = pd.DataFrame({
             "doc_id": pd.array(np.where(null, 0, ids), "Int64"), "train": train, "n_tokens": counts,
@@ -178,9 +189,11 @@ def counted(docs: DataFrame, partitions: int) -> DataFrame:
         out["tokens"] = int(answers["tokens"].sum())
         return out
 
-    state = docs.mapInPandas(texts, "batch long, ids binary, null binary, train binary, sizes binary, raw binary")
-    replies = answer(ask(docs, partitions), partitions)
-    both = state.groupBy("batch").cogroup(replies.groupBy("batch"))
+    batches = batched(docs)
+    size = batches.agg(F.sum("bytes")).first()[0] or 0
+    partitions = partitions or max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION))
+    replies = answer(ask(batches, partitions).repartition(partitions, "p"))
+    both = batches.drop("bytes").groupBy("batch").cogroup(replies.groupBy("batch"))
     found = both.applyInPandas(look_up, "doc_id long, train boolean, n_tokens long, one binary, two binary, types long, tokens long")
     return written(found, "counted")
 
@@ -259,7 +272,6 @@ def score(docs: DataFrame, train: F.Column | None = None, partitions: int | None
     """
     train = digits_crc() % 10 != 0 if train is None else train
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
-    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = counted(rows, partitions)
     n, v, ends = found.agg(F.coalesce(F.max("tokens"), F.lit(0)), F.coalesce(F.max("types"), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     weights = learn(histogram(found, (n, v, ends)), n, v)

@@ -136,3 +136,23 @@ def test_packed_arrays_come_back():
         x = np.random.default_rng(1).integers(0, 200, 77).astype(kind)
         assert (language_model._unpack(language_model._pack(x), kind) == x).all()
     assert len(language_model._unpack(language_model._pack(np.empty(0, "u8")), "u8")) == 0
+
+
+def test_language_model_over_several_batches_of_a_task(stored, monkeypatch):
+    """Small batches, one partition or many, and an input that comes out in another order each time: the same rows."""
+    keys = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+    rows = lambda df: Counter((*(r[k] for k in keys), round(r["base_score"], 6), round(r["score"], 6)) for r in df.collect())
+    want = rows(language_model.score(stored))
+    monkeypatch.setattr(language_model, "BATCH", 3000)
+    assert rows(language_model.score(stored, partitions=11)) == want
+    assert rows(language_model.score(stored.coalesce(1).orderBy(F.rand()), partitions=1)) == want
+
+
+def test_words_do_not_depend_on_the_slice(monkeypatch, rows):
+    from pointloom.llm import words
+
+    texts = [t for _, t in rows]
+    want = [words.plain_words(texts), words.alnum_words(texts), words.letter_terms(texts, (4, 5))]
+    monkeypatch.setattr(words, "SLICE", 7)
+    got = [words.plain_words(texts), words.alnum_words(texts), words.letter_terms(texts, (4, 5))]
+    assert all((x == y).all() for a, b in zip(want, got) for x, y in zip(a, b))
