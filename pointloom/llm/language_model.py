@@ -190,10 +190,12 @@ def counted(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         return out
 
     batches = batched(docs)
-    size = batches.agg(F.sum("bytes")).first()[0] or 0
-    partitions = partitions or max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION))
-    replies = answer(ask(batches, partitions).repartition(partitions, "p"))
-    both = batches.drop("bytes").groupBy("batch").cogroup(replies.groupBy("batch"))
+    n, size = batches.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    partitions = partitions or max(cores, -(-size // PARTITION))
+    tasks = max(cores, n)
+    replies = answer(ask(batches, partitions).repartition(partitions, "p")).repartition(tasks, "batch")
+    both = batches.drop("bytes").repartition(tasks, "batch").groupBy("batch").cogroup(replies.groupBy("batch"))
     found = both.applyInPandas(look_up, "doc_id long, train boolean, n_tokens long, one binary, two binary, types long, tokens long")
     return written(found, "counted")
 
