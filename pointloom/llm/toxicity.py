@@ -6,9 +6,10 @@ documents, and no term is too common to index: a term's weight is its TF-IDF tim
 how unevenly it occurs between the example labels, so words of all texts count little and
 words of toxic texts much, however many rows they stand in. The index orders examples by
 blocks and keeps, for each term, the largest weight in each block it has; the most common
-terms stand as whole rows instead. A query adds these up to bound every block's cosines, opens
-blocks from the highest bound down, and stops when no unopened block can beat its
-k-th neighbour. Neighbours vote with their cosines; votes are turned into
+terms stand as whole rows instead. A query adds these up to bound every block's cosines,
+scores the blocks of highest bounds, and then all others whose bounds reach its k-th best
+cosine so far, so none that could hold a neighbour is left out. Texts are searched many at
+a time. Neighbours vote with their cosines; votes are turned into
 probabilities by a logistic curve fitted to the examples' own leave-one-out votes.
 All terms of the examples are indexed, however rare. No other labels are read.
 """
@@ -30,10 +31,10 @@ PER_LABEL = 1500
 NEIGHBOURS = 25
 BLOCK = 32
 #: Texts cut into terms at once.
-STEP = 500
+STEP = 100
 STEMS = (4, 5)
 #: So many of the most common terms are kept as whole rows of weights (a matter of storage only).
-WHOLE = 512
+WHOLE = 2048
 #: A term's chi-square against the labels at which it has about half of its TF-IDF weight.
 HALF = 30
 
@@ -60,16 +61,26 @@ def counted(texts: list[str | None], vocabulary: np.ndarray | None = None) -> tu
     return text[first], term[first], np.diff(np.append(first, len(term)))
 
 
-def vectors(texts: list[str | None], vocabulary: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+@dataclass
+class Vectors:
+    """Unit vectors of texts: rows (text, term, weight) in order of text and term."""
+
+    text: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+    n: int
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(self.text, [i, i + 1])
+        return self.term[a:b], self.weight[a:b]
+
+
+def vectors(texts: list[str | None], vocabulary: np.ndarray, idf: np.ndarray) -> Vectors:
     """Of each text the places and weights, (1 + ln count) x the term's weight, of its indexed terms, scaled to length 1."""
     text, term, count = counted(texts, vocabulary)
     weight = idf[term] * (1 + np.log(count))
-    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-    out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        norm = np.sqrt((weight[a:b] ** 2).sum())
-        out.append((term[a:b], weight[a:b] / norm if norm else weight[a:b]))
-    return out
+    norm = np.sqrt(np.bincount(text, weight**2, len(texts)))
+    return Vectors(text, term, weight / np.maximum(norm, 1e-300)[text], len(texts))
 
 
 def _spans(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,67 +103,79 @@ class Index:
     largest: np.ndarray  # weight in each part
     start: np.ndarray  # each part's first posting (one more at the end)
     row: np.ndarray  # per term: its row in whole, -1 if it has none
-    whole: np.ndarray  # weights of the most common terms, a row each, by example
     labels: np.ndarray
     ids: np.ndarray
+    texts: list[str] | None  # until the curve is fitted
     curve: tuple[float, float] = (1.0, 0.0)
-
-    def common(self, units: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the most common terms add to the cosine of each vector with each example."""
-        x = np.zeros((len(units), len(self.whole)))
-        for i, (at, weight) in enumerate(units):
-            row = self.row[at]
-            x[i, row[row >= 0]] = weight[row >= 0]
-        return x @ self.whole
-
-    def neighbours(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 (ties: lower number first), and their cosines: exact."""
-        n = len(self.labels)
-        if not len(at) or not n:
-            return np.empty(0, np.int64), np.empty(0)
-        if common is None:
-            common = self.common([(at, weight)])[0]
-        rest = self.row[at] < 0
-        parts, counts = _spans(self.part, at[rest])
-        weights, owner = np.repeat(weight[rest], counts), self.block[parts]
+    _whole: np.ndarray | None = None
+
+    @property
+    def whole(self) -> np.ndarray:
+        """Weights of the most common terms, a row each, by example; laid out from the postings where it is used."""
+        if self._whole is None:
+            self._whole = np.zeros((int(self.row.max(initial=-1)) + 1, len(self.labels)))
+            row = np.repeat(self.row, np.diff(self.first))
+            there = row >= 0
+            self._whole[row[there], self.example[there]] = self.weight[there]
+        return self._whole
+
+    def __getstate__(self):
+        return self.__dict__ | {"_whole": None}
+
+    def neighbours(self, v: Vectors, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of each text's k examples of largest cosine above 0 (ties: lower number first), best first: exact.
+
+        ``leave``: of each text the example that is not looked at.
+        """
+        n, m = len(self.labels), v.n
+        if not len(v.text) or not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        row = self.row[v.term]
+        known = row >= 0
+        x = np.zeros((m, len(self.whole)))
+        x[v.text[known], row[known]] = v.weight[known]
+        common = x @ self.whole
+        text, term, weight = v.text[~known], v.term[~known], v.weight[~known]
+        parts, counts = _spans(self.part, term)
         starts = np.arange(0, n, BLOCK)
-        bounds = np.maximum.reduceat(common, starts) + np.bincount(owner, weights * self.largest[parts], len(starts))
-        order = np.argsort(-bounds, kind="stable")
-        opened, scores = 0, np.zeros(n)
-        step = max(4, -(-k // BLOCK) * 2)
-        while opened < len(order) and bounds[order[opened]] > 0:
-            mask = np.zeros(len(bounds), bool)
-            mask[order[opened : opened + step]] = True
-            here = mask[owner]
+        owner = np.repeat(text, counts) * len(starts) + self.block[parts]
+        weights = np.repeat(weight, counts)
+        bounds = np.bincount(owner, weights * self.largest[parts], m * len(starts)).reshape(m, -1) + np.maximum.reduceat(common, starts, axis=1)
+        scores = np.zeros(m * n)
+        first = min(len(starts), max(4, -(-k // BLOCK) * 4))
+        nth = np.partition(bounds, len(starts) - first, axis=1)[:, len(starts) - first]
+        todo = bounds >= nth[:, None]  # at least ``first`` blocks
+        done = np.zeros_like(todo)
+        while todo.any():
+            here = todo.reshape(-1)[owner]
             spots, sizes = _spans(self.start, parts[here])
-            scores += np.bincount(self.example[spots], np.repeat(weights[here], sizes) * self.weight[spots], n)
-            scores += np.where(np.repeat(mask, BLOCK)[:n], common, 0)
-            opened += step
-            if leave >= 0:
-                scores[leave] = 0
-            best = np.partition(scores, n - k)[n - k] if n > k else 0.0
-            if best > 0 and (opened >= len(order) or bounds[order[opened]] < best - 1e-9):
-                break
-            step *= 2
-        best = np.partition(scores, n - k)[n - k] if n > k else 0.0
-        top = np.flatnonzero((scores >= best) & (scores > 0))
-        top = top[np.argsort(-scores[top], kind="stable")[:k]]
-        return top, scores[top]
-
-    def vote(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int = -1, common: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The log odds of the neighbours' votes, each as strong as its cosine squared, and the neighbours."""
-        who, cosine = self.neighbours(at, weight, k, leave, common)
-        strength = cosine**2
-        yes = strength[self.labels[who] == 1].sum()
-        no = strength[self.labels[who] == 0].sum()
+            base = np.repeat(owner[here] // len(starts) * n, sizes)
+            scores += np.bincount(base + self.example[spots], np.repeat(weights[here], sizes) * self.weight[spots], m * n)
+            scores += np.where(np.repeat(todo, BLOCK, axis=1)[:, :n], common, 0).reshape(-1)
+            if leave is not None:
+                scores[np.arange(m) * n + leave] = 0
+            done |= todo
+            grid = scores.reshape(m, n)
+            best = np.partition(grid, n - k, axis=1)[:, n - k] if n > k else np.zeros(m)
+            todo = ~done & (bounds > 0) & (bounds >= best[:, None] - 1e-9)
+        who, example = np.nonzero((grid >= best[:, None]) & (grid > 0))
+        order = np.lexsort((example, -grid[who, example], who))
+        who, example = who[order], example[order]
+        top = np.arange(len(who)) - np.searchsorted(who, who) < k
+        return who[top], example[top], grid[who[top], example[top]]
+
+    def votes(self, v: Vectors, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text the log odds of its neighbours' votes, each as strong as its cosine squared; and the neighbours."""
+        text, example, cosine = found = self.neighbours(v, k, leave)
+        yes, no = (np.bincount(text, cosine**2 * (self.labels[example] == y), v.n) for y in (1, 0))
         smooth = 0.05 * (yes + no) + 1e-4
-        return float(np.log((yes + smooth) / (no + smooth))), who, cosine
+        return np.log((yes + smooth) / (no + smooth)), found
 
-    def scores(self, texts: list[str | None], k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    def scores(self, texts: list[str | None], k: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Scores of texts, and their neighbours."""
         slope, level = self.curve
-        units = vectors(texts, self.vocabulary, self.idf)
-        found = [self.vote(at, weight, k, common=row) for (at, weight), row in zip(units, self.common(units), strict=True)]
-        return [(float(1 / (1 + np.exp(-(slope * odds + level)))), who, cosine) for odds, who, cosine in found]
+        odds, found = self.votes(vectors(texts, self.vocabulary, self.idf), k)
+        return 1 / (1 + np.exp(-(slope * odds + level))), found
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -217,19 +240,19 @@ def _uneven(texts: list[str], labels: np.ndarray, vocabulary: np.ndarray) -> np.
     return (chi + 1) / (chi + HALF)
 
 
-def _index(texts: list[str], labels: np.ndarray, ids: np.ndarray, vocabulary: np.ndarray, df: np.ndarray, n_docs: int) -> tuple[Index, list[tuple[np.ndarray, np.ndarray]]]:
-    """The index of the examples over these terms, and the examples' vectors in its order."""
+def _index(texts: list[str], labels: np.ndarray, ids: np.ndarray, vocabulary: np.ndarray, df: np.ndarray, n_docs: int) -> Index:
+    """The index of the examples over these terms; like examples stand next to each other: by label, then by their heaviest term."""
     idf = np.log((n_docs + 1) / (df + 0.5)) * _uneven(texts, labels, vocabulary)
-    units = vectors(texts, vocabulary, idf)
-    # like examples next to each other: by label, then by their heaviest term
-    heads = [int(at[np.argmax(w)]) if len(at) else -1 for at, w in units]
-    order = np.lexsort((np.array(heads, np.int64), labels)) if len(units) else np.empty(0, np.int64)
-    units = [units[i] for i in order]
-    term = np.concatenate([at for at, _ in units]) if units else np.empty(0, np.int64)
-    weight = np.concatenate([w for _, w in units]) if units else np.empty(0)
-    example = np.repeat(np.arange(len(units)), [len(at) for at, _ in units])
-    by_term = np.argsort(term, kind="stable")
-    term, example, weight = term[by_term], example[by_term], weight[by_term]
+    v = vectors(texts, vocabulary, idf)
+    heaviest = np.lexsort((v.term, -v.weight, v.text))
+    with_terms, at = np.unique(v.text[heaviest], return_index=True)
+    heads = np.full(len(texts), -1)
+    heads[with_terms] = v.term[heaviest][at]
+    order = np.lexsort((heads, labels)) if len(texts) else np.empty(0, np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    by_term = np.lexsort((place[v.text], v.term))
+    term, example, weight = v.term[by_term], place[v.text][by_term], v.weight[by_term]
     first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
     start = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(example // BLOCK, prepend=-1))
     part = np.searchsorted(term[start], np.arange(len(vocabulary) + 1))
@@ -237,11 +260,7 @@ def _index(texts: list[str], labels: np.ndarray, ids: np.ndarray, vocabulary: np
     row = np.full(len(vocabulary), -1)
     most = np.argsort(-np.diff(first), kind="stable")[:WHOLE]
     row[most] = np.arange(len(most))
-    whole = np.zeros((len(most), len(units)))
-    there = row[term] >= 0
-    whole[row[term[there]], example[there]] = weight[there]
-    index = Index(vocabulary, idf, first, example, weight, part, example[start] // BLOCK, largest, np.append(start, len(term)), row, whole, labels[order], ids[order])
-    return index, units
+    return Index(vocabulary, idf, first, example, weight, part, example[start] // BLOCK, largest, np.append(start, len(term)), row, labels[order], ids[order], [texts[i] for i in order])
 
 
 def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Index:
@@ -257,11 +276,12 @@ def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int
     labels, ids = (sample[c].to_numpy(np.int64) if len(sample) else np.empty(0, np.int64) for c in ("label", "doc_id"))
     vocabulary = np.unique(counted(texts)[1])
     df, n_docs = _frequencies(docs, vocabulary)
-    index, units = _index(texts, labels, ids, vocabulary, df, n_docs)
+    index = _index(texts, labels, ids, vocabulary, df, n_docs)
+    texts, index.texts = index.texts, None
     if not {0, 1} <= set(labels.tolist()):
         index.curve = (1e-3, 12.0 if 1 in index.labels else -12.0)
         return index
-    odds = np.array([index.vote(at, w, k, leave=i)[0] for i, (at, w) in enumerate(units)])
+    odds = np.concatenate([index.votes(vectors(texts[i : i + STEP], vocabulary, index.idf), k, np.arange(i, min(i + STEP, len(texts))))[0] for i in range(0, len(texts), STEP)])
     weight = np.array([shares[y] / (index.labels == y).sum() for y in (0, 1)])[index.labels]
     index.curve = _logistic(odds, index.labels, weight / weight.mean())
     return index
@@ -273,9 +293,13 @@ def scored(docs: DataFrame, index: Index, k: int = NEIGHBOURS, evidence: int = 3
 
     @F.pandas_udf("score double, evidence array<long>, cosines array<double>")
     def apply(text: pd.Series) -> pd.DataFrame:
-        model, texts = sent.value, text.tolist()
-        found = [f for i in range(0, len(texts), STEP) for f in model.scores(texts[i : i + STEP], k)]
-        return pd.DataFrame({"score": [f[0] for f in found], "evidence": [model.ids[f[1][:evidence]].tolist() for f in found], "cosines": [f[2][:evidence].tolist() for f in found]})
+        model, texts, out = sent.value, text.tolist(), []
+        for i in range(0, len(texts), STEP):
+            score, (of, example, cosine) = model.scores(texts[i : i + STEP], k)
+            cuts = np.searchsorted(of, np.arange(len(score)))
+            ends = np.minimum(np.searchsorted(of, np.arange(len(score)), "right"), cuts + evidence)
+            out += [(s, model.ids[example[a:b]].tolist(), cosine[a:b].tolist()) for s, a, b in zip(score.tolist(), cuts.tolist(), ends.tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["score", "evidence", "cosines"])
 
     return apply("text")
 

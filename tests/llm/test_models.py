@@ -79,11 +79,68 @@ def test_neighbours_are_exact(labelled):
     dense = np.zeros((n, v))
     for t in range(v):
         dense[index.example[index.first[t] : index.first[t + 1]], t] = index.weight[index.first[t] : index.first[t + 1]]
-    for at, w in toxicity.vectors(texts, index.vocabulary, index.idf):
-        who, cosine = index.neighbours(at, w, 7)
+    v = toxicity.vectors(texts, index.vocabulary, index.idf)
+    text, who, cosine = index.neighbours(v, 7)
+    for i in range(len(texts)):
+        at, w = v.row(i)
         want = dense[:, at] @ w if len(at) else np.zeros(n)
-        best = np.sort(want)[::-1][:7]
-        assert np.allclose(cosine, best[best > 1e-12][: len(cosine)]) and np.allclose(want[who], cosine)
+        best = sorted(((-c, e) for e, c in enumerate(want) if c > 1e-12))[:7]
+        assert np.allclose(cosine[text == i], [-c for c, _ in best]) and np.allclose(want[who[text == i]], cosine[text == i])
+
+
+def test_toxicity_scores_by_brute_force(labelled, monkeypatch):
+    """Weights, neighbours, votes, curve and scores written out plainly, over all examples at once; a smaller index storage changes nothing."""
+    docs, labels = labelled
+    allowed = {}
+    for r in toxicity.training_labels(labels).collect():
+        if r["doc_id"] is not None and r["label"] is not None:
+            allowed[r["doc_id"]] = min(r["label"], allowed.get(r["doc_id"], 1))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    stems = lambda t: Counter(x for w in re.findall(r"[a-z]+", t.lower()) for x in [w, *((w[:s], s) for s in toxicity.STEMS if len(w) > s)])
+    bags = {d: stems(t) for d, t in texts.items()}
+    examples = sorted(d for d in allowed if d in texts)
+    y = np.array([allowed[d] for d in examples])
+    df = Counter(t for b in bags.values() for t in b)
+    inside = Counter(t for d in examples for t in bags[d])
+    toxic = Counter(t for d in examples if allowed[d] for t in bags[d])
+    n, k = len(examples), int(y.sum())
+
+    def weight(t):
+        spread = inside[t] * (n - inside[t]) * k * (n - k)
+        chi = (toxic[t] * n - inside[t] * k) ** 2 * n / spread if spread else 0.0
+        return math.log((len(texts) + 1) / (df[t] + 0.5)) * (chi + 1) / (chi + toxicity.HALF)
+
+    def unit(bag):
+        v = {t: weight(t) * (1 + math.log(c)) for t, c in bag.items() if t in inside}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {t: x / size for t, x in v.items()}
+
+    units = {d: unit(bags[d]) for d in texts}
+
+    def odds(d, leave=None):
+        cosines = sorted(((sum(x * units[e].get(t, 0.0) for t, x in units[d].items()), allowed[e]) for e in examples if e != leave), reverse=True)[: toxicity.NEIGHBOURS]
+        yes, no = (sum(c * c for c, label in cosines if label == z and c > 0) for z in (1, 0))
+        smooth = 0.05 * (yes + no) + 1e-4
+        return math.log((yes + smooth) / (no + smooth))
+
+    slope, level = toxicity._logistic(np.array([odds(d, d) for d in examples]), y, np.ones(n))
+    want = {d: 1 / (1 + math.exp(-(slope * odds(d) + level))) for d in texts}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labels).collect()}
+    assert max(abs(got[d] - want[d]) for d in want) < 1e-6
+    monkeypatch.setattr(toxicity, "WHOLE", 3)
+    monkeypatch.setattr(toxicity, "STEP", 7)
+    few = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labels).collect()}
+    assert max(abs(got[d] - few[d]) for d in want) < 1e-9
+
+
+def test_a_sample_smaller_than_the_labels(labelled):
+    """More labelled rows than the bound: the sample is the first of each label by hash order, and still tells."""
+    docs, labels = labelled
+    index = toxicity.fit(docs, toxicity.training_labels(labels), per_label=20)
+    assert np.bincount(index.labels).tolist() == [20, 20]
+    score = toxicity.scored(docs, index)["score"]
+    rows = docs.select("doc_id", (score >= 0.5).cast("int").alias("predicted"), F.lit(True).alias("held_out"))
+    assert accuracy(rows, labels, "toxic") > 0.85
 
 
 def test_quality_on_held_out_rows(labelled, stored):
