@@ -6,10 +6,9 @@ documents, and no term is too common to index: a term's weight is its TF-IDF tim
 how unevenly it occurs between the example labels, so words of all texts count little and
 words of toxic texts much, however many rows they stand in. The index orders examples by
 blocks and keeps, for each term, the largest weight in each block it has; the most common
-terms stand as whole rows instead. A query adds these up to bound every block's cosines,
-scores the blocks of highest bounds, and then all others whose bounds reach its k-th best
-cosine so far, so none that could hold a neighbour is left out. Texts are searched many at
-a time. Neighbours vote with their cosines; votes are turned into
+terms stand as whole rows instead. A query adds these up to bound every block's cosines, and
+scores every block whose bound reaches a floor of its k-th best cosine, so none that could
+hold a neighbour is left out. Texts are searched many at a time. Neighbours vote with their cosines; votes are turned into
 probabilities by a logistic curve fitted to the examples' own leave-one-out votes.
 All terms of the examples are indexed, however rare. No other labels are read.
 """
@@ -39,17 +38,51 @@ WHOLE = 2048
 HALF = 30
 
 
-def counted(texts: list[str | None], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Terms:
+    """Sorted distinct hashes, found by their leading bits: hashes spread evenly, so few share these."""
+
+    BITS = 20
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self._first = hashes, None
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __getstate__(self):
+        return {"hashes": self.hashes, "_first": None}
+
+    def find(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``term`` are known, and their places."""
+        if not len(self.hashes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        shift = np.uint64(64 - self.BITS)
+        if self._first is None:
+            self._first = np.searchsorted(self.hashes >> shift, np.arange((1 << self.BITS) + 1, dtype=np.uint64))
+        top = (term >> shift).astype(np.int64)
+        at, end = self._first[top], self._first[top + 1]
+        left = np.flatnonzero(at < end)
+        known, places = [], []
+        while len(left):
+            hit = self.hashes[at[left]] == term[left]
+            known.append(left[hit])
+            places.append(at[left[hit]])
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return (np.concatenate(known), np.concatenate(places)) if known else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def counted(texts: list[str | None], vocabulary: Terms | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, count) of the distinct terms of each text, in order of text and term.
 
-    Terms are hashes of words and of beginnings of longer words; with a sorted
-    vocabulary, only its terms, as places in it.
+    Terms are hashes of words and of beginnings of longer words; with a vocabulary,
+    only its terms, as places in it.
     """
     term, text = words.letter_terms(texts, STEMS)
     if vocabulary is not None:
-        at = np.searchsorted(vocabulary, term)
-        known = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == term) if len(vocabulary) else np.empty(0, np.int64)
-        key = np.sort(text[known] * len(vocabulary) + at[known])
+        known, at = vocabulary.find(term)
+        key = np.sort(text[known] * len(vocabulary) + at)
         first = np.flatnonzero(np.diff(key, prepend=-1))
         text, term = np.divmod(key[first], max(len(vocabulary), 1))
         return text, term, np.diff(np.append(first, len(key)))
@@ -75,7 +108,7 @@ class Vectors:
         return self.term[a:b], self.weight[a:b]
 
 
-def vectors(texts: list[str | None], vocabulary: np.ndarray, idf: np.ndarray) -> Vectors:
+def vectors(texts: list[str | None], vocabulary: Terms, idf: np.ndarray) -> Vectors:
     """Of each text the places and weights, (1 + ln count) x the term's weight, of its indexed terms, scaled to length 1."""
     text, term, count = counted(texts, vocabulary)
     weight = idf[term] * (1 + np.log(count))
@@ -93,7 +126,7 @@ def _spans(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Inverted index of unit TF-IDF vectors; examples are numbered so that blocks hold like ones."""
 
-    vocabulary: np.ndarray  # sorted hashes of terms
+    vocabulary: Terms
     idf: np.ndarray  # times the unevenness between the labels
     first: np.ndarray  # per term: its postings' beginning (one more at the end)
     example: np.ndarray
@@ -141,23 +174,19 @@ class Index:
         owner = np.repeat(text, counts) * len(starts) + self.block[parts]
         weights = np.repeat(weight, counts)
         bounds = np.bincount(owner, weights * self.largest[parts], m * len(starts)).reshape(m, -1) + np.maximum.reduceat(common, starts, axis=1)
-        scores = np.zeros(m * n)
-        first = min(len(starts), max(4, -(-k // BLOCK) * 4))
-        nth = np.partition(bounds, len(starts) - first, axis=1)[:, len(starts) - first]
-        todo = bounds >= nth[:, None]  # at least ``first`` blocks
-        done = np.zeros_like(todo)
-        while todo.any():
-            here = todo.reshape(-1)[owner]
-            spots, sizes = _spans(self.start, parts[here])
-            base = np.repeat(owner[here] // len(starts) * n, sizes)
-            scores += np.bincount(base + self.example[spots], np.repeat(weights[here], sizes) * self.weight[spots], m * n)
-            scores += np.where(np.repeat(todo, BLOCK, axis=1)[:, :n], common, 0).reshape(-1)
-            if leave is not None:
-                scores[np.arange(m) * n + leave] = 0
-            done |= todo
-            grid = scores.reshape(m, n)
-            best = np.partition(grid, n - k, axis=1)[:, n - k] if n > k else np.zeros(m)
-            todo = ~done & (bounds > 0) & (bounds >= best[:, None] - 1e-9)
+        if leave is not None:
+            common[np.arange(m), leave] = 0
+        # weights are not negative: the k-th best cosine is no less than the k-th best of the common terms' shares of it
+        least = np.partition(common, n - k, axis=1)[:, n - k] if n > k else np.zeros(m)
+        todo = (bounds > 0) & (bounds >= least[:, None] - 1e-9)
+        here = todo.reshape(-1)[owner]
+        spots, sizes = _spans(self.start, parts[here])
+        base = np.repeat(owner[here] // len(starts) * n, sizes)
+        rest = np.bincount(base + self.example[spots], np.repeat(weights[here], sizes) * self.weight[spots], m * n)
+        grid = np.where(np.repeat(todo, BLOCK, axis=1)[:, :n], common, 0) + rest.reshape(m, n)
+        if leave is not None:
+            grid[np.arange(m), leave] = 0
+        best = np.partition(grid, n - k, axis=1)[:, n - k] if n > k else np.zeros(m)
         who, example = np.nonzero((grid >= best[:, None]) & (grid > 0))
         order = np.lexsort((example, -grid[who, example], who))
         who, example = who[order], example[order]
@@ -212,7 +241,7 @@ def _sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> pd.DataFram
     return found.select("doc_id", "r.text", "r.label").toPandas().sort_values("doc_id", ignore_index=True)
 
 
-def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+def _frequencies(docs: DataFrame, vocabulary: Terms) -> tuple[np.ndarray, int]:
     """In how many of all documents each term of the vocabulary occurs, and the number of documents."""
     size = len(vocabulary)
 
@@ -230,7 +259,7 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     return df[:size], int(df[size])
 
 
-def _uneven(texts: list[str], labels: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+def _uneven(texts: list[str], labels: np.ndarray, vocabulary: Terms) -> np.ndarray:
     """How unevenly each term occurs between the labels: from 1 / HALF (evenly) to near 1, by its chi-square."""
     text, term, _ = counted(texts, vocabulary)
     every, yes = (np.bincount(term[labels[text] >= y], minlength=len(vocabulary)).astype(float) for y in (0, 1))
@@ -240,7 +269,7 @@ def _uneven(texts: list[str], labels: np.ndarray, vocabulary: np.ndarray) -> np.
     return (chi + 1) / (chi + HALF)
 
 
-def _index(texts: list[str], labels: np.ndarray, ids: np.ndarray, vocabulary: np.ndarray, df: np.ndarray, n_docs: int) -> Index:
+def _index(texts: list[str], labels: np.ndarray, ids: np.ndarray, vocabulary: Terms, df: np.ndarray, n_docs: int) -> Index:
     """The index of the examples over these terms; like examples stand next to each other: by label, then by their heaviest term."""
     idf = np.log((n_docs + 1) / (df + 0.5)) * _uneven(texts, labels, vocabulary)
     v = vectors(texts, vocabulary, idf)
@@ -274,7 +303,7 @@ def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int
     sample = _sample(docs, labelled, per_label)
     texts = sample["text"].tolist()
     labels, ids = (sample[c].to_numpy(np.int64) if len(sample) else np.empty(0, np.int64) for c in ("label", "doc_id"))
-    vocabulary = np.unique(counted(texts)[1])
+    vocabulary = Terms(np.unique(counted(texts)[1]))
     df, n_docs = _frequencies(docs, vocabulary)
     index = _index(texts, labels, ids, vocabulary, df, n_docs)
     texts, index.texts = index.texts, None
