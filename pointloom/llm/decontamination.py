@@ -1,8 +1,11 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, block-max WAND, overlap checks.
 
-Every text is cut into overlapping passages twice as long as the stride, which is at
-least the longest item's length, so each occurrence of an item lies whole in one
-passage. A passage is a query against the items. An item's scores are taken as shares
+Items are indexed by classes of length, each with a stride: 64 words, or the power of two
+times 64 that its items fit in. Every text is cut into overlapping passages twice as long as
+the stride, so each occurrence of an item lies whole in one passage of its class, and how
+long other items are makes no difference. A class of very many items has several indexes;
+document frequencies, the number of items and their mean length are those of all items
+together. A passage is a query against the items. An item's scores are taken as shares
 of the score the item itself would get, so one threshold serves items of any length.
 All items above it are retrieved: a passage whose terms' largest shares do not add up
 to the threshold is skipped, then blocks of items are skipped by their largest shares,
@@ -28,8 +31,8 @@ STRIDE = 64
 BLOCK = 16
 SHINGLE = 3
 SHARE, OVERLAP = 0.5, 0.5
-#: Items, and words of items, of one index; larger test sets are searched in several passes.
-MOST_ITEMS, MOST_WORDS = 20_000, 4_000_000
+#: Words of the items of one index; larger classes of items have several.
+MOST_WORDS = 4_000_000
 #: Passages scored at once.
 PASSAGES = 4000
 FOUND = "array<struct<item_id: long, passage: long, bm25_share: double, question_overlap: double, answer_overlap: double>>"
@@ -75,8 +78,30 @@ class Index:
         return -(-len(self.ids) // BLOCK)
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    """The index of (item_id, text); items without words are left out."""
+@dataclass
+class Statistics:
+    """Of all items with words: their number, mean length, and in how many each term occurs (sorted hashes)."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    def frequencies(self, vocabulary: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, vocabulary)]
+
+
+def statistics(texts: list[str]) -> Statistics:
+    hashes, counts = words.alnum_words(texts)
+    terms, place = np.unique(hashes, return_inverse=True)
+    pairs = np.unique(np.repeat(np.arange(len(texts)), counts) * max(1, len(terms)) + place)
+    n = int((counts > 0).sum())
+    return Statistics(n, float(counts.sum()) / max(1, n), terms, np.bincount(pairs % max(1, len(terms)), minlength=len(terms)))
+
+
+def build(items: list[tuple[int, str]], of: Statistics | None = None, stride: int | None = None) -> Index:
+    """The index of (item_id, text) with the statistics of all items (default: of these); items without words are left out."""
+    of = of or statistics([t for _, t in items])
     hashed = words.alnum_words([t for _, t in items])
     split = np.split(hashed[0], np.cumsum(hashed[1])[:-1]) if items else []
     kept = [(i, t, h) for (i, t), h in zip(items, split, strict=True) if len(h)]
@@ -86,9 +111,9 @@ def build(items: list[tuple[int, str]]) -> Index:
     term = np.concatenate([p[0] for p in pairs]) if kept else np.empty(0, np.int64)
     tf = np.concatenate([p[1] for p in pairs]).astype(float) if kept else np.empty(0)
     item = np.repeat(np.arange(len(kept)), [len(p[0]) for p in pairs])
-    df = np.bincount(term, minlength=len(vocabulary))
-    idf = np.log(1 + (len(kept) - df + 0.5) / (df + 0.5))
-    norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if kept else 1.0))
+    df = of.frequencies(vocabulary) if len(vocabulary) else np.empty(0)
+    idf = np.log(1 + (of.items - df + 0.5) / (df + 0.5))
+    norm = K1 * (1 - B + B * lengths / max(1.0, of.mean))
     score = idf[term] * tf * (K1 + 1) / (tf + norm[item]) if kept else np.empty(0)
     share = score / np.bincount(item, score, len(kept))[item] if kept else np.empty(0)
     order = np.lexsort((item, term))
@@ -96,11 +121,10 @@ def build(items: list[tuple[int, str]]) -> Index:
     first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
     largest = np.zeros(len(vocabulary))
     np.maximum.at(largest, term, share)
-    key = term * max(1, -(-len(kept) // BLOCK)) + item // BLOCK
-    blocks, inverse = np.unique(key, return_inverse=True)
+    n_blocks = max(1, -(-len(kept) // BLOCK))
+    blocks, inverse = np.unique(term * n_blocks + item // BLOCK, return_inverse=True)
     block_largest = np.zeros(len(blocks))
     np.maximum.at(block_largest, inverse, share)
-    n_blocks = max(1, -(-len(kept) // BLOCK))
     parts = []
     for _, text, h in kept:
         both = []
@@ -111,10 +135,18 @@ def build(items: list[tuple[int, str]]) -> Index:
         parts.append(tuple(both))
     return Index(
         np.array([i for i, *_ in kept], np.int64), vocabulary, first, item, share, largest, np.searchsorted(blocks // n_blocks, np.arange(len(vocabulary) + 1)),
-        blocks % n_blocks, block_largest, parts, max(STRIDE, int(lengths.max(initial=0))),
+        blocks % n_blocks, block_largest, parts, stride or stride_of(int(lengths.max(initial=0))),
     )
 
 
+def stride_of(length: int) -> int:
+    """64 words, or the least power of two times 64 that holds so many."""
+    stride = STRIDE
+    while stride < length:
+        stride *= 2
+    return stride
+
+
 def _postings(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the terms' postings, and which of the terms each belongs to."""
     n = first[terms + 1] - first[terms]
@@ -192,30 +224,39 @@ def search(index: Index, texts: list[str | None], share: float, overlap: float)
 
 
 def indexes(items: DataFrame) -> list[Index]:
-    """Indexes of bounded size that together hold all items (item_id, text); null texts are left out, equal rows count once.
+    """Indexes of bounded size, by length of item, that together hold all items (item_id, text); null texts are left out, equal rows count once.
 
-    Test sets are small beside the corpus, but their size is looked at: a larger one is
-    indexed, and later searched, part by part; each part's statistics are its own.
+    The test set is collected: it is small beside the corpus, and needed as a whole in every
+    task. A test set beyond the driver's memory is searched by calling ``contaminated`` on parts
+    of it, each with ``statistics`` of the whole.
     """
     rows = items.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()
-    parts = max(1, -(-n // MOST_ITEMS), -(-size // MOST_WORDS))
-    out = []
-    for part in range(parts):
-        mine = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        out.append(build(sorted(((r[0] if r[0] is not None else -1), r[1]) for r in mine.collect())))
-    return out
-
-
-def found_items(docs: DataFrame, index: Index, share: float = SHARE, overlap: float = OVERLAP) -> Column:
-    """A column of the items of one index that contaminate the column ``text``."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    found = sorted(((r[0] if r[0] is not None else -1), r[1]) for r in rows.toLocalIterator())
+    of = statistics([t for _, t in found])
+    lengths = words.alnum_words([t for _, t in found])[1]
+    classes: dict[int, list[list]] = {}
+    size: dict[int, int] = {}
+    for item, n in zip(found, lengths.tolist(), strict=True):
+        stride = stride_of(n)
+        if stride not in classes or size[stride] + n > MOST_WORDS:
+            classes.setdefault(stride, []).append([])
+            size[stride] = 0
+        classes[stride][-1].append(item)
+        size[stride] += n
+    return [build(part, of, stride) for stride, parts in sorted(classes.items()) for part in parts]
+
+
+def found_items(docs: DataFrame, items: DataFrame, share: float = SHARE, overlap: float = OVERLAP) -> Column:
+    """A column of the items that contaminate the column ``text``, by item_id; all indexes are searched in one pass over the texts."""
+    sent = [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(items)]  # MOST_WORDS each
 
     @F.pandas_udf(FOUND)
     def contaminating(text: pd.Series) -> pd.Series:
         texts, out = text.tolist(), []
         for k in range(0, len(texts), 400):
-            for rows in search(sent.value, texts[k : k + 400], share, overlap):
+            found = [search(b.value, texts[k : k + 400], share, overlap) for b in sent]
+            for rows in zip(*found, strict=True) if found else [()] * len(texts[k : k + 400]):
+                rows = sorted((r for part in rows for r in part), key=lambda r: r[0])
                 out.append([dict(zip(("item_id", "passage", "bm25_share", "question_overlap", "answer_overlap"), r, strict=True)) for r in rows])
         return pd.Series(out, dtype=object)
 
@@ -226,18 +267,12 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, overla
     """A row per document row and contaminating item: doc_id, item_id, passage and the measures that decided.
 
     Null and empty texts, and items without words, match nothing; repeated rows give
-    repeated results; other columns are not read.
+    repeated results; a null item_id counts as -1; other columns are not read.
     """
-    out = None
-    for index in indexes(items):
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found_items(docs, index, share, overlap).alias("f"))
-        rows = rows.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found_items(docs, items, share, overlap).alias("f"))
+    return rows.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.*")
 
 
 def clean(docs: DataFrame, items: DataFrame, share: float = SHARE, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
-    for index in indexes(items):
-        docs = docs.where(F.size(found_items(docs, index, share, overlap)) == 0)
-    return docs
+    return docs.where(F.size(found_items(docs, items, share, overlap)) == 0)

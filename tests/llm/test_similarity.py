@@ -1,4 +1,6 @@
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -86,18 +88,58 @@ def items():
     return [(k, f"{prose(rng, 20)} q{k}a q{k}b. {prose(rng, 5)} a{k}.") for k in range(30)] + [(30, ""), (31, "one")]
 
 
-def test_decontamination_equals_brute_force(spark, stored, rows, items):
+def plain_contaminated(rows, items, share=decontamination.SHARE, overlap=decontamination.OVERLAP):
+    """BM25 over every passage and item, and overlaps of word triples, written out plainly."""
+    split = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), t or ""))
+    bags = {i: split(t) for i, t in items if split(t)}
+    df = Counter(w for b in bags.values() for w in set(b))
+    mean = sum(map(len, bags.values())) / len(bags)
+
+    def grams(ws, n):
+        return {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+
+    def weights(b):
+        idf = {w: math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) for w in b}
+        norm = 1.2 * (0.25 + 0.75 * len(b) / mean)
+        raw = {w: idf[w] * c * 2.2 / (c + norm) for w, c in Counter(b).items()}
+        return {w: x / sum(raw.values()) for w, x in raw.items()}
+
+    found = set()
+    for i, text in items:
+        if i not in bags:
+            continue
+        b, shares = bags[i], weights(bags[i])
+        stride = 64 * 2 ** max(0, math.ceil(math.log2(len(b) / 64)))
+        parts = []
+        for part in decontamination.question_and_answer(text):
+            ws = split(part) or b
+            n = min(3, len(ws))
+            parts.append((n, grams(ws, n)))
+        for doc, t in rows:
+            ws = split(t)
+            for start in range(0, max(1, math.ceil(len(ws) / stride) - 1) * stride, stride):
+                passage = ws[start : start + 2 * stride]
+                if sum(shares[w] for w in set(passage) & set(b)) >= share - 1e-9 and all(len(g & grams(passage, n)) / len(g) >= overlap for n, g in parts):
+                    found.add((doc, i))
+    return found
+
+
+def test_decontamination_equals_brute_force(spark, stored, rows, items, monkeypatch):
     rng = random.Random(9)
     leaks = [(1000 + k, prose(rng, 150) + " " + items[k][1].upper() + " " + prose(rng, 150)) for k in range(10)] + [(2000, items[3][1] + " x " + items[4][1]), (2001, items[5][1][:40])]
+    long = (50, prose(rng, 700) + ". " + prose(rng, 90))  # an item of a longer class
+    leaks.append((3000, prose(rng, 500) + " " + long[1] + " " + prose(rng, 60) + " " + items[7][1]))
+    leaks.append((3001, items[8][1].split(". ")[0] + " " + prose(rng, 300) + " " + items[8][1].split(". ")[1]))  # question and answer far apart
+    every = [*items, long]
     docs = stored.select("doc_id", "text").unionByName(spark.createDataFrame(leaks, "doc_id long, text string"))
-    table = spark.createDataFrame([*items, (None, None), items[0]], "item_id long, text string")
-    index = decontamination.build(items)
-    want = set()
-    every = decontamination.search(index, [t for _, t in [*rows, *leaks]], 0.0, decontamination.OVERLAP)  # no threshold: every item is looked at
-    for (doc, _), found in zip([*rows, *leaks], every):
-        want |= {(doc, f[0]) for f in found}
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, table).collect()}
-    assert got == want and {(1000 + k, k) for k in range(10)} | {(2000, 3), (2000, 4)} <= got and not any(d == 2001 for d, _ in got)
+    table = spark.createDataFrame([*every, (None, None), items[0]], "item_id long, text string")
+    want = plain_contaminated([*rows, *leaks], every)
+    full = sorted(decontamination.contaminated(docs, table).collect())
+    got = {(r["doc_id"], r["item_id"]) for r in full}
+    assert got == want and {(1000 + k, k) for k in range(10)} | {(2000, 3), (2000, 4), (3000, 50), (3000, 7)} <= got
+    assert not any(d in (2001, 3001) for d, _ in got)
+    monkeypatch.setattr(decontamination, "MOST_WORDS", 60)  # many indexes give the same rows
+    assert len(decontamination.indexes(table)) > 5 and sorted(decontamination.contaminated(docs, table).collect()) == full
     kept = decontamination.clean(stored, table)
     assert kept.columns == stored.columns
     assert decontamination.contaminated(docs.limit(0), table).count() == 0
