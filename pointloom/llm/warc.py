@@ -2,7 +2,7 @@
 
 Writing: every task fills memory-sized runs, sorts each by URL key and timestamp, and
 writes it as one archive (a gzip member per record) with its index rows in the same
-order. Merging: splitters taken at even steps from the sorted runs cut all runs into
+order. Merging: the shuffle's range partitioner, from a bounded sample, cuts all runs into
 ranges of about equal size, also within one URL key; each range's run slices go
 through a loser tree, so the ranges one after the other are the capture histories of
 all archives in global order. Reading: records are found by file and offset.
@@ -31,7 +31,7 @@ from pointloom.llm.common import new_folder, written
 RUN_BYTES = 32 << 20
 LEVEL = 3
 #: Index rows in a merge range.
-RANGE_ROWS = 250_000
+RANGE_ROWS = 100_000
 FIRST_CAPTURE = 1_700_000_000
 RECORD_ID = "urn:pointloom:page:"
 INDEX = "urlkey string, timestamp long, page_id long, file string, offset long, length long, run string, nth long"
@@ -121,9 +121,9 @@ def referred(pages: DataFrame, least: int = 0) -> DataFrame:
     return rows.select("page_id", "url", "html", F.when(~F.col("__last").eqNullSafe(F.col("page_id")), F.col("__last")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, run_bytes: int = RUN_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, run_bytes: int | None = None) -> DataFrame:
     """Writes a record per row and returns the committed index rows, each run's in order (nth from 0)."""
-    base = _uri(folder)
+    base, run_bytes = _uri(folder), run_bytes or RUN_BYTES
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, path = file_system(base)
@@ -200,44 +200,24 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
         losers[0] = winner
 
 
-def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def merge_index(index: DataFrame, range_rows: int | None = None) -> DataFrame:
     """The captures of all runs in global order: range_no, then place, by URL key, timestamp and page id (null first)."""
-    total = index.count()
-    tasks = index.sparkSession.sparkContext.defaultParallelism
-    ranges = max(1, min(tasks, total), -(-total // range_rows))
-    step = max(1, total // (ranges * 24))
-    key = lambda r: (r[0], r[1], -1 << 63 if r[2] is None else r[2])
-    sampled = index.where(F.pmod(F.xxhash64("run") + F.col("nth"), F.lit(step)) == 0)  # about 24 a range, whatever the size
-    found = sorted(key(r) for r in sampled.select("urlkey", "timestamp", "page_id").collect())
-    cuts = [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
-
-    @F.pandas_udf("int")
-    def range_of(urlkey: pd.Series, timestamp: pd.Series, page_id: pd.Series) -> pd.Series:
-        from bisect import bisect_right
-
-        ids = page_id.astype("Int64").fillna(-1 << 63)
-        return pd.Series([bisect_right(cuts, k) for k in zip(urlkey, timestamp, ids, strict=True)], dtype="int32")
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    ranges = max(1, cores, -(-index.count() // (range_rows or RANGE_ROWS)))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def merged(range_no: int, rows: pd.DataFrame) -> pd.DataFrame:
+        from pyspark import TaskContext
+
+        rows = list(batches)  # a range: sorted by run and place in it
+        if rows:
+            rows = pd.concat(rows, ignore_index=True)
             order = list(zip(rows["urlkey"], rows["timestamp"], rows["page_id"].astype("Int64").fillna(-1 << 63), range(len(rows)), strict=True))
             cut = np.flatnonzero(rows["run"].to_numpy()[1:] != rows["run"].to_numpy()[:-1]) + 1
             runs = [order[a:b] for a, b in zip([0, *cut], [*cut, len(order)], strict=True)]
             out = rows.iloc[[r[3] for r in loser_tree(runs)]].drop(columns=["run", "nth"])
-            return out.assign(place=np.arange(len(out)))
-
-        held: list[pd.DataFrame] = []
-        for batch in batches:  # sorted by range, then run and place in it
-            for no, part in batch.groupby("range_no", sort=True):
-                if held and held[0]["range_no"].iloc[0] != no:
-                    yield merged(held[0]["range_no"].iloc[0], pd.concat(held, ignore_index=True))
-                    held = []
-                held.append(part)
-        if held:
-            yield merged(held[0]["range_no"].iloc[0], pd.concat(held, ignore_index=True))
+            yield out.assign(range_no=TaskContext.get().partitionId(), place=np.arange(len(out)))
 
-    rows = index.withColumn("range_no", range_of("urlkey", "timestamp", "page_id"))
-    rows = rows.repartition(ranges, "range_no").sortWithinPartitions("range_no", "run", "nth")
+    rows = index.repartitionByRange(ranges, "urlkey", "timestamp", "page_id").sortWithinPartitions("run", "nth")
     return rows.mapInPandas(merge, "urlkey string, timestamp long, page_id long, file string, offset long, length long, range_no int, place long")
 
 
