@@ -30,8 +30,8 @@ FILTERS = [(k % 4, (5 * k) % 8, 4 - k % 2, (4, 8, 12, 16)[k // 4]) for k in rang
 STEP = 0.12
 #: Frames that must agree on an offset, frames that must overlap, share of bits that may differ.
 VOTES, OVERLAP, ERROR = 4, 24, 0.15
-#: Queries in one pass.
-QUERY_BLOCK = 5000
+#: Bytes of query fingerprints searched in one pass.
+QUERY_BYTES = 16 << 20
 
 
 def pcm(audio: bytes | None) -> np.ndarray:
@@ -177,12 +177,17 @@ def match(recordings: DataFrame, key: str = "rec_id", every: int = 100, error: f
     )
     classes = written(classes.select("class", F.col(f"r.{key}").alias("class_id"), "r.fingerprint", "query", "asking"), "recording_classes")
     queries = classes.where("query is not null").select("query", "fingerprint", "asking", "class")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    size = queries.agg(F.sum(F.octet_length("fingerprint"))).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
     found = None
-    for block in range(blocks):
-        mine = queries.where(F.pmod("query", F.lit(blocks * every)) == block * every) if blocks > 1 else queries
-        held = [(r[0], np.frombuffer(r[1], "<u4"), r[2], r[3]) for r in mine.collect()]  # a block of the query set
-        part = classes.mapInPandas(_searcher(sorted(held, key=lambda h: h[0]), error), "class long, queries long, best_query long, offset long, bit_error double")
+    for block in range(blocks):  # one block at a time is on the driver
+        mine = queries.where(F.pmod(F.xxhash64("query", "class"), F.lit(blocks)) == block)
+        held = sorted(((r[0], np.frombuffer(r[1], "<u4"), r[2], r[3]) for r in mine.collect()), key=lambda h: h[0])
+        sent = recordings.sparkSession.sparkContext.broadcast(held)
+        part = classes.mapInPandas(_searcher(sent, error), "class long, queries long, best_query long, offset long, bit_error double")
+        if blocks > 1:
+            part = written(part, "searched")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     best = F.min(F.when(F.col("best_query").isNotNull(), F.struct("bit_error", "best_query", "offset"))).alias("b")
     found = found.groupBy("class").agg(F.sum("queries").alias("others"), best)
@@ -196,8 +201,11 @@ def match(recordings: DataFrame, key: str = "rec_id", every: int = 100, error: f
     )
 
 
-def _searcher(held: list[tuple[int, np.ndarray, int, int]], error: float):
+def _searcher(sent, error: float):
+    """Searches a broadcast block of queries: (key, integers, how many rows ask, class)."""
+
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = sent.value
         values = np.concatenate([h[1] for h in held]) if held else np.empty(0, np.uint32)
         owner = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
         order = np.argsort(values, kind="stable")
