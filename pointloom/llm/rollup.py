@@ -1,14 +1,19 @@
 """Token counts by source, language and tokenizer version, kept up by signed deltas.
 
 A batch of changes is a table of signed rows: +1 for an insert, -1 for a delete, and -1
-of the old with +1 of the new for a revised count. ``commit`` adds its rows up by key and
-writes the sums under the batch's name, once: a batch that was committed before changes
-nothing. Totals are the sums over all committed batches, so they never read documents.
+of the old with +1 of the new for a revised count. ``commit`` adds its rows up by key,
+writes the sums aside, and renames them to the batch's name, which only the first of several
+committers of one name can do: a batch counts once or not at all. Totals are the
+sums over all committed batches, so they never read documents; ``compact`` puts the sums of
+all batches so far in one table, after which totals read that and the batches since.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -54,46 +59,86 @@ class Rollup:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or new_folder(spark, "rollup")
-
-    def _path(self, batch: str) -> str:
-        return f"{self.folder}/batch={batch}"
-
-    def _file_system(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.jvm = spark._jvm
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _names(self, kind: str) -> list[str]:
+        """Committed batches or compactions: their folders' names."""
+        root = self.jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath().getName() for s in system.listStatus(root)] if system.exists(root) else []
+        return sorted(n for n in found if n.startswith(kind + "="))
+
+    def _publish(self, aside: str, name: str) -> bool:
+        """Renames a written folder; False, and the folder is gone, if the name is taken. The file system lets one of several through."""
+        conf, target = self.spark._jsc.hadoopConfiguration(), self._path(name)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._path(aside), target, options)
+            return True
+        except Exception as error:
+            if "FileAlreadyExists" not in str(error):
+                raise
+            context.delete(self._path(aside), True)
+            return False
 
     def committed(self, batch: str) -> bool:
-        return self._file_system().exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(batch) + "/_SUCCESS"))
+        return "batch=" + quote(batch, safe="") in self._names("batch")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds a batch of signed rows; False, and no change, if a batch of this name was committed.
+        """Adds a batch of signed rows; False, and no change, if a batch of this name (any text) was committed.
 
         Rows add up on the map side first, so a source with a third of all rows is no
-        hot task. A commit that broke off left no mark and is written anew.
+        hot task. A commit that broke off left an unused folder and can be made again.
         """
         if self.committed(batch):
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("documents"), F.sum(F.col("sign") * F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"))
-        sums.write.mode("overwrite").parquet(self._path(batch))
-        return True
+        aside = f"aside-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.folder}/{aside}")
+        return self._publish(aside, "batch=" + quote(batch, safe=""))
+
+    def compact(self) -> bool:
+        """Puts the sums of all committed batches in one table; False if another compaction was faster. Batches keep their marks."""
+        before, names = self._names("compact"), self._names("batch")
+        aside = f"aside-{uuid.uuid4().hex}"
+        self._sums(before, names).write.parquet(f"{self.folder}/{aside}/sums")
+        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{self.folder}/{aside}/names")
+        return self._publish(aside, f"compact={len(before):09d}")
+
+    def _sums(self, compactions: list[str], names: list[str]) -> DataFrame:
+        paths = []
+        if compactions:
+            held = {r[0] for r in self.spark.read.schema("name string").parquet(f"{self.folder}/{compactions[-1]}/names").collect()}  # names of batches
+            paths, names = [f"{self.folder}/{compactions[-1]}/sums"], [n for n in names if n not in held]
+        paths += [f"{self.folder}/{n}" for n in names]
+        rows = [self.spark.read.schema(TOTALS).parquet(p) for p in paths]
+        every = reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], TOTALS)
+        sums = every.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        return sums.where("documents <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
         """documents and tokens by source, lang and version, of all committed batches; keys without documents are gone."""
-        system, jvm = self._file_system(), self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.folder)
-        names = [s.getPath().toString() for s in system.listStatus(root)] if system.exists(root) else []
-        names = [n for n in names if system.exists(jvm.org.apache.hadoop.fs.Path(n + "/_SUCCESS"))]
-        rows = self.spark.read.schema(TOTALS).parquet(*names) if names else self.spark.createDataFrame([], TOTALS)
-        sums = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return sums.where("documents <> 0 or tokens <> 0")
+        return self._sums(self._names("compact"), self._names("batch"))
 
 
 def replay(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Loads all documents, commits the load twice, then revises every word count: the totals that result."""
+    """The totals after a history of batches over all documents.
+
+    Loads all documents, commits the load twice (once counts), revises every word count,
+    deletes the documents whose id is odd, puts the sums so far in one table, and inserts them again.
+    """
     counts = written(token_counts(docs, vocabulary), "token_counts")
     rollup = Rollup(docs.sparkSession)
     load = deltas(counts, WORDS, 1).unionByName(deltas(counts, BPE, 1))
     rollup.commit("load", load)
     rollup.commit("load", load)
     rollup.commit("revise", deltas(counts, WORDS, -1).unionByName(deltas(counts, ALNUM, 1)))
+    odd = counts.where("doc_id % 2 <> 0")
+    rollup.commit("delete", deltas(odd, ALNUM, -1).unionByName(deltas(odd, BPE, -1)))
+    rollup.compact()
+    rollup.commit("insert", deltas(odd, ALNUM, 1).unionByName(deltas(odd, BPE, 1)))
     return rollup.totals()
