@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import decontamination, jaccard, language_model, media, packing, quality, rollup, sharding, toxicity, warc
+from pointloom.llm import decontamination, jaccard, language_model, media, packing, quality, rollup, sharding, sql, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_pages(table(spark, sf_dir, "pages"))
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "range_no", "place")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
