@@ -17,10 +17,11 @@ import os
 import numpy as np
 
 from pointloom.llm import words as W
+from pointloom.llm.common import trim
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Distinct parts after which a worker's cache starts anew; bounds its memory.
-CACHE = 700_000
+CACHE = 300_000
 _SPACE, _LETTER, _DIGIT, _PUNCT, _OTHER = range(5)
 _KINDS = np.full(256, _OTHER, np.uint8)
 _KINDS[0x21:0x7F] = _PUNCT
@@ -155,8 +156,14 @@ class Encoder:
 _ENCODERS: dict[str | None, Encoder] = {}
 
 
+def release() -> None:
+    """Lets go of the worker's encoders and their words."""
+    _ENCODERS.clear()
+    trim()
+
+
 def encoder(path: str | None = None) -> Encoder:
-    """The worker's encoder for a vocabulary file; kept between tasks."""
+    """The worker's encoder for a vocabulary file; kept until ``release``."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm import words
+from pointloom.llm.common import bound_batches, trim
 
 K1, B = 1.2, 0.75
 STRIDE = 64
@@ -248,17 +249,20 @@ def indexes(items: DataFrame) -> list[Index]:
 
 def found_items(docs: DataFrame, items: DataFrame, share: float = SHARE, overlap: float = OVERLAP) -> Column:
     """A column of the items that contaminate the column ``text``, by item_id; all indexes are searched in one pass over the texts."""
+    bound_batches(docs.sparkSession)
     sent = [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(items)]  # MOST_WORDS each
 
     @F.pandas_udf(FOUND)
-    def contaminating(text: pd.Series) -> pd.Series:
-        texts, out = text.tolist(), []
-        for k in range(0, len(texts), 400):
-            found = [search(b.value, texts[k : k + 400], share, overlap) for b in sent]
-            for rows in zip(*found, strict=True) if found else [()] * len(texts[k : k + 400]):
-                rows = sorted((r for part in rows for r in part), key=lambda r: r[0])
-                out.append([dict(zip(("item_id", "passage", "bm25_share", "question_overlap", "answer_overlap"), r, strict=True)) for r in rows])
-        return pd.Series(out, dtype=object)
+    def contaminating(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            texts, out = text.tolist(), []
+            for k in range(0, len(texts), 400):
+                found = [search(b.value, texts[k : k + 400], share, overlap) for b in sent]
+                for rows in zip(*found, strict=True) if found else [()] * len(texts[k : k + 400]):
+                    rows = sorted((r for part in rows for r in part), key=lambda r: r[0])
+                    out.append([dict(zip(("item_id", "passage", "bm25_share", "question_overlap", "answer_overlap"), r, strict=True)) for r in rows])
+            yield pd.Series(out, dtype=object)
+        trim()
 
     return contaminating("text")
 

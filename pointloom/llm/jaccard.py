@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm import words
+from pointloom.llm.common import bound_batches, trim
 from pointloom.operators.points import running_sum
 from pointloom.plans.components import components, local_roots
 from pointloom.storage import written
@@ -119,7 +120,9 @@ def sign(docs: DataFrame) -> DataFrame:
                     [rows.column("doc_id"), rows.column("text_key"), pa.array(total.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array([r.tobytes() for r in signature], pa.binary())],
                     ["doc_id", "text_key", "class", "n", "signature"],
                 )
+        trim()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     return written(rows.mapInArrow(apply, "doc_id long, text_key long, class long, n long, signature binary"), "signed")
 
@@ -296,6 +299,7 @@ def _meet(similarity: float, ends: bool):
                 yield out(links, leaders)
         if last:
             yield out([], last)
+        trim()
 
     return apply
 
@@ -366,6 +370,7 @@ def verify(docs: DataFrame, classes: DataFrame, clusters: DataFrame, similarity:
                 some = np.flatnonzero(links)
                 roots = _roots(near)[some]
                 yield pa.RecordBatch.from_arrays([pa.array(number[a:b][some]), pa.array(number[a:b][roots]), pa.array(links[some].astype(np.int64))], ["class", "root", "links"])
+        trim()
 
     members = classes.drop("signature").join(clusters.select(F.col("node").alias("class"), "root"), "class")
     members = members.withColumn("weight", F.greatest(F.lit(BLOCK_SHINGLES // BLOCK).cast("long"), F.col("n")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm import words
-from pointloom.llm.common import digits_crc, written
+from pointloom.llm.common import bound_batches, digits_crc, written
 
 #: Characters of a batch, and of the corpus for each n-gram partition; they bound a worker's memory.
 BATCH, PARTITION = 12 << 20, 16 << 20
@@ -108,6 +108,7 @@ def batched(docs: DataFrame) -> DataFrame:
                 "train": [_pack(rows["train"].to_numpy(np.uint8))], "sizes": [_pack(sizes)], "bytes": [int(sizes.sum())], "raw": [zstandard.compress(b"".join(raw), 3)],
             })
 
+    bound_batches(docs.sparkSession)
     return written(docs.mapInPandas(texts, "batch long, ids binary, null binary, train binary, sizes binary, bytes long, raw binary"), "batches")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from pointloom.llm.common import written
+from pointloom.llm.common import bound_batches, written
 
 RATE, FRAME, HOP = 4000, 512, 128
 LOW, HIGH = 80.0, 1800.0
@@ -238,5 +238,6 @@ def _searcher(sent, error: float):
 
 def match_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Renders each row's vector as a recording, fingerprints it and searches; see match."""
+    bound_batches(vectors.sparkSession)
     audio = vectors.select(F.col(key), rendered(F.col(column)).alias("audio"))
     return match(audio.select(key, fingerprints("audio").alias("fingerprint")), key)

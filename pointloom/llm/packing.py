@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.llm import bpe
-from pointloom.llm.common import written
+from pointloom.llm.common import bound_batches, written
 
 CAPACITY = 2048
 #: Pieces ranked by one task at a time.
@@ -50,7 +50,9 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+        bpe.release()
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import bpe, words
-from pointloom.llm.common import new_folder, written
+from pointloom.llm.common import bound_batches, new_folder, written
 
 KEYS = ("source", "lang", "version")
 TOTALS = "source string, lang string, version string, documents long, tokens long"
@@ -42,7 +42,9 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 texts = part["text"].tolist()
                 out = part[["doc_id", "source", "lang"]].astype({"doc_id": "Int64"})
                 yield out.assign(**{"w1": words.plain_words(texts)[1], "w2": words.alnum_words(texts)[1], "b": encoder.flat(texts)[1].astype(np.int64)})
+        bpe.release()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
     counts = rows.mapInPandas(count, "doc_id long, source string, lang string, w1 long, w2 long, b long")
     return counts.select("doc_id", "source", "lang", F.create_map(F.lit(WORDS), "w1", F.lit(ALNUM), "w2", F.lit(BPE), "b").alias("counts"))

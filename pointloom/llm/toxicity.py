@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm import words
-from pointloom.llm.common import digits_crc
+from pointloom.llm.common import bound_batches, digits_crc, trim
 
 PER_LABEL = 1500
 NEIGHBOURS = 25
 BLOCK = 32
-#: Texts cut into terms at once.
-STEP = 100
+#: Texts, and characters of texts, that are handled at once (a longer text is handled alone); they bound a worker's memory.
+STEP, STEP_CHARACTERS = 64, 160_000
 STEMS = (4, 5)
 #: So many of the most common terms are kept as whole rows of weights (a matter of storage only).
 WHOLE = 2048
@@ -38,10 +38,21 @@ WHOLE = 2048
 HALF = 30
 
 
+def steps(texts: list[str | None]) -> Iterator[list[str | None]]:
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if i > start and (i - start == STEP or size > STEP_CHARACTERS):
+            yield texts[start:i]
+            start, size = i, len(text or "")
+    if start < len(texts):
+        yield texts[start:]
+
+
 class Terms:
     """Sorted distinct hashes, found by their leading bits: hashes spread evenly, so few share these."""
 
-    BITS = 20
+    BITS = 18
 
     def __init__(self, hashes: np.ndarray):
         self.hashes, self._first = hashes, None
@@ -58,7 +69,7 @@ class Terms:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         shift = np.uint64(64 - self.BITS)
         if self._first is None:
-            self._first = np.searchsorted(self.hashes >> shift, np.arange((1 << self.BITS) + 1, dtype=np.uint64))
+            self._first = np.searchsorted(self.hashes >> shift, np.arange((1 << self.BITS) + 1, dtype=np.uint64)).astype(np.int32)
         top = (term >> shift).astype(np.int64)
         at, end = self._first[top], self._first[top + 1]
         left = np.flatnonzero(at < end)
@@ -119,7 +130,9 @@ def vectors(texts: list[str | None], vocabulary: Terms, idf: np.ndarray) -> Vect
 def _spans(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places first[i] up to first[i + 1] of each i in ``at``, one after another, and how many each i has."""
     counts = first[at + 1] - first[at]
-    return np.arange(int(counts.sum())) + np.repeat(first[at] - np.cumsum(counts) + counts, counts), counts
+    places = np.repeat(first[at] - np.cumsum(counts) + counts, counts)
+    places += np.arange(len(places))
+    return places, counts
 
 
 @dataclass
@@ -147,9 +160,9 @@ class Index:
         """Weights of the most common terms, a row each, by example; laid out from the postings where it is used."""
         if self._whole is None:
             self._whole = np.zeros((int(self.row.max(initial=-1)) + 1, len(self.labels)))
-            row = np.repeat(self.row, np.diff(self.first))
-            there = row >= 0
-            self._whole[row[there], self.example[there]] = self.weight[there]
+            for term in np.flatnonzero(self.row >= 0).tolist():
+                a, b = self.first[term], self.first[term + 1]
+                self._whole[self.row[term], self.example[a:b]] = self.weight[a:b]
         return self._whole
 
     def __getstate__(self):
@@ -180,9 +193,13 @@ class Index:
         least = np.partition(common, n - k, axis=1)[:, n - k] if n > k else np.zeros(m)
         todo = (bounds > 0) & (bounds >= least[:, None] - 1e-9)
         here = todo.reshape(-1)[owner]
-        spots, sizes = _spans(self.start, parts[here])
-        base = np.repeat(owner[here] // len(starts) * n, sizes)
-        rest = np.bincount(base + self.example[spots], np.repeat(weights[here], sizes) * self.weight[spots], m * n)
+        parts, owner, weights = parts[here], owner[here], weights[here]
+        spots, sizes = _spans(self.start, parts)
+        cell = np.repeat(owner // len(starts) * n, sizes)
+        cell += self.example[spots]
+        share = np.repeat(weights, sizes)
+        share *= self.weight[spots]
+        rest = np.bincount(cell, share, m * n)
         grid = np.where(np.repeat(todo, BLOCK, axis=1)[:, :n], common, 0) + rest.reshape(m, n)
         if leave is not None:
             grid[np.arange(m), leave] = 0
@@ -249,9 +266,10 @@ def _frequencies(docs: DataFrame, vocabulary: Terms) -> tuple[np.ndarray, int]:
         total, n = np.zeros(size, np.int64), 0
         for batch in batches:
             n += len(batch)
-            for k in range(0, len(batch), STEP):
-                total += np.bincount(counted(batch["text"].iloc[k : k + STEP].tolist(), vocabulary)[1], minlength=size)
+            for part in steps(batch["text"].tolist()):
+                np.add.at(total, counted(part, vocabulary)[1], 1)
         yield pd.DataFrame({"term": np.append(np.arange(size), -1), "n": np.append(total, n)}).query("n > 0")
+        trim()
 
     sums = docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(size + 1, np.int64)
@@ -289,7 +307,8 @@ def _index(texts: list[str], labels: np.ndarray, ids: np.ndarray, vocabulary: Te
     row = np.full(len(vocabulary), -1)
     most = np.argsort(-np.diff(first), kind="stable")[:WHOLE]
     row[most] = np.arange(len(most))
-    return Index(vocabulary, idf, first, example, weight, part, example[start] // BLOCK, largest, np.append(start, len(term)), row, labels[order], ids[order], [texts[i] for i in order])
+    small = lambda x: x.astype(np.int32)
+    return Index(vocabulary, idf, small(first), small(example), weight, small(part), small(example[start] // BLOCK), largest, small(np.append(start, len(term))), small(row), labels[order], ids[order], [texts[i] for i in order])
 
 
 def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int = NEIGHBOURS) -> Index:
@@ -298,6 +317,7 @@ def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int
     ``labelled``: doc_id, label (0 or 1; rows with nulls are left out; of repeated
     doc_ids the smallest label counts). Without examples, scores are 0.
     """
+    bound_batches(docs.sparkSession)
     labelled = present(docs, labelled)
     shares = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     sample = _sample(docs, labelled, per_label)
@@ -310,7 +330,11 @@ def fit(docs: DataFrame, labelled: DataFrame, per_label: int = PER_LABEL, k: int
     if not {0, 1} <= set(labels.tolist()):
         index.curve = (1e-3, 12.0 if 1 in index.labels else -12.0)
         return index
-    odds = np.concatenate([index.votes(vectors(texts[i : i + STEP], vocabulary, index.idf), k, np.arange(i, min(i + STEP, len(texts))))[0] for i in range(0, len(texts), STEP)])
+    odds, at = [], 0
+    for part in steps(texts):
+        odds.append(index.votes(vectors(part, vocabulary, index.idf), k, np.arange(at, at + len(part)))[0])
+        at += len(part)
+    odds = np.concatenate(odds)
     weight = np.array([shares[y] / (index.labels == y).sum() for y in (0, 1)])[index.labels]
     index.curve = _logistic(odds, index.labels, weight / weight.mean())
     return index
@@ -321,14 +345,18 @@ def scored(docs: DataFrame, index: Index, k: int = NEIGHBOURS, evidence: int = 3
     sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
     @F.pandas_udf("score double, evidence array<long>, cosines array<double>")
-    def apply(text: pd.Series) -> pd.DataFrame:
-        model, texts, out = sent.value, text.tolist(), []
-        for i in range(0, len(texts), STEP):
-            score, (of, example, cosine) = model.scores(texts[i : i + STEP], k)
-            cuts = np.searchsorted(of, np.arange(len(score)))
-            ends = np.minimum(np.searchsorted(of, np.arange(len(score)), "right"), cuts + evidence)
-            out += [(s, model.ids[example[a:b]].tolist(), cosine[a:b].tolist()) for s, a, b in zip(score.tolist(), cuts.tolist(), ends.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["score", "evidence", "cosines"])
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = sent.value
+        for text in batches:
+            out = []
+            for part in steps(text.tolist()):
+                score, (of, example, cosine) = model.scores(part, k)
+                cuts = np.searchsorted(of, np.arange(len(score)))
+                ends = np.minimum(np.searchsorted(of, np.arange(len(score)), "right"), cuts + evidence)
+                out += [(s, model.ids[example[a:b]].tolist(), cosine[a:b].tolist()) for s, a, b in zip(score.tolist(), cuts.tolist(), ends.tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=["score", "evidence", "cosines"])
+        model._whole = None
+        trim()
 
     return apply("text")
 

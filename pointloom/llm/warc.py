@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import new_folder, written
+from pointloom.llm.common import bound_batches, new_folder, written
 
 RUN_BYTES = 32 << 20
 LEVEL = 3
@@ -163,6 +163,7 @@ def write_archives(pages: DataFrame, folder: str, run_bytes: int | None = None)
         if held:
             yield flush(held)
 
+    bound_batches(pages.sparkSession)
     return written(pages.mapInPandas(write, INDEX), "captures")
 
 
