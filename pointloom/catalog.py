@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import approx
 from pointloom.operators import clustering, density, grid, metrics, neighbours, ordering, points
 from pointloom.plans import owners
-from pointloom.plans.components import propagate_largest
+from pointloom.plans.components import propagate_largest, propagate_passes
 
 EPS, MIN_PTS = 0.02, 4
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,13 +165,13 @@ def _part_box(spark, sf):
     return p, *([float(v) for v in p.agg(F.min(F.col("coords")[0]), F.min(F.col("coords")[1])).first()], [float(v) for v in p.agg(F.max(F.col("coords")[0]), F.max(F.col("coords")[1])).first()])
 
 
-GRID = f"{PARTS}, g AS (SELECT min(x) ax, max(x) bx, min(y) ay, max(y) by_ FROM p), h AS (SELECT *, greatest(1, ceil((bx - ax) / 50.0 - 1e-12))::BIGINT nx, greatest(1, ceil((by_ - ay) / 50.0 - 1e-12))::BIGINT ny FROM g), i AS (SELECT id, x, y, nx, ny, greatest(0, least(nx - 1, floor((x - ax) / 50.0)))::BIGINT ix, greatest(0, least(ny - 1, floor((y - ay) / 50.0)))::BIGINT iy FROM p, h)"
+GRID = f"{PARTS}, g AS (SELECT min(x) ax, max(x) bx, min(y) ay, max(y) by_ FROM p), h AS (SELECT *, greatest(1, ceil((bx - ax) / 9.0 - 1e-12))::BIGINT nx, greatest(1, ceil((by_ - ay) / 9.0 - 1e-12))::BIGINT ny FROM g), i AS (SELECT id, x, y, nx, ny, greatest(0, least(nx - 1, floor((x - ax) / 9.0)))::BIGINT ix, greatest(0, least(ny - 1, floor((y - ay) / 9.0)))::BIGINT iy FROM p, h)"
 
 
 def _cells(spark, sf):
     p, lows, highs = _part_box(spark, sf)
-    counts = grid.axis_counts(lows, highs, 50.0)
-    out = p.withColumn("index", grid.cell_index(F.col("coords"), lows, highs, 50.0))
+    counts = grid.axis_counts(lows, highs, 9.0)
+    out = p.withColumn("index", grid.cell_index(F.col("coords"), lows, highs, 9.0))
     return out.withColumn("cell_id", grid.flatten_row_major(F.col("index"), counts)), counts
 
 
@@ -186,11 +186,11 @@ def grid_cell_counts(spark, sf):
     return grid.occupancy(_cells(spark, sf)[0])
 
 
-@query(f"WITH {GRID}, q AS (SELECT ax, ay, ny, unnest(range(nx)) AS ix FROM h), t AS (SELECT *, unnest(range(ny)) AS iy FROM q) SELECT ix, iy, ax + 50.0::DOUBLE * (ix + 0.5::DOUBLE) AS cx, ay + 50.0::DOUBLE * (iy + 0.5::DOUBLE) AS cy FROM t")
+@query(f"WITH {GRID}, q AS (SELECT ax, ay, ny, unnest(range(nx)) AS ix FROM h), t AS (SELECT *, unnest(range(ny)) AS iy FROM q) SELECT ix, iy, ax + 9.0::DOUBLE * (ix + 0.5::DOUBLE) AS cx, ay + 9.0::DOUBLE * (iy + 0.5::DOUBLE) AS cy FROM t")
 def grid_centres(spark, sf):
     _, lows, highs = _part_box(spark, sf)
-    ny = grid.axis_counts(lows, highs, 50.0)[1]
-    c = grid.centres(spark, lows, highs, 50.0)
+    ny = grid.axis_counts(lows, highs, 9.0)[1]
+    c = grid.centres(spark, lows, highs, 9.0)
     return c.select(F.floor(F.col("cell_id") / ny).alias("ix"), (F.col("cell_id") % ny).alias("iy"), F.col("centre")[0].alias("cx"), F.col("centre")[1].alias("cy"))
 
 
@@ -392,14 +392,19 @@ def max_propagation_r3(spark, sf):
     return propagate_largest(start, density.core_edges(e, cores), 3)[0]
 
 
-@query(f"{HEAD}, {FIRST} SELECT n.id % 3 AS owner_id, n.id AS owner_local_idx, n.n_neighbors, coalesce(first_.component, -1) > 0 AS clustered FROM n LEFT JOIN first_ USING (id)")
+@query(f"{HEAD}, {FIRST} SELECT n.id % 3 AS owner_id, n.id AS owner_local_idx, n.n_neighbors, coalesce(first_.component, -1) > 0 AS clustered, k.root AS head FROM n LEFT JOIN first_ USING (id) LEFT JOIN k USING (id)")
 def multi_owner_clusters(spark, sf):
+    """Clusters of three owners' points; a core point's cluster is named by the least id of its core points."""
     p = emb2(spark, sf)
     parts = [p.where(F.col("id") % 3 == k) for k in range(3)]
-    return owners.run(parts, EPS, MIN_PTS).select(F.col("owner_id").cast("long").alias("owner_id"), "owner_local_idx", "n_neighbors", (F.col("cluster") > 0).alias("clustered"))
+    out = owners.run(parts, EPS, MIN_PTS).select(F.col("owner_id").cast("long").alias("owner_id"), "owner_local_idx", "n_neighbors", "role", "cluster")
+    heads = out.where("role = 'core'").groupBy("cluster").agg(F.min("owner_local_idx").alias("head"))
+    named = out.join(heads, "cluster", "left")
+    return named.select("owner_id", "owner_local_idx", "n_neighbors", (F.col("cluster") > 0).alias("clustered"), F.when(F.col("role") == "core", F.col("head")).alias("head"))
 
 
-# --- quality ----------------------------------------------------------------------
+# --- quality --------------------------------------------------------------------
+
 
 LABELLED = f"{HEAD}, {FIRST}, v AS (SELECT p.id, p.true_label AS t, coalesce(first_.component, -1) AS c FROM p LEFT JOIN first_ USING (id))"
 
@@ -468,10 +473,10 @@ def pca_order_pos(spark, sf):
     return ordering.pca_order(emb2(spark, sf)).select("id", "slot")
 
 
-@query("WITH v AS (SELECT DISTINCT value FROM events WHERE abs(value) >= 0.5), q AS (SELECT value, CASE WHEN value - lag(value) OVER (ORDER BY value) > 0.05 OR lag(value) OVER (ORDER BY value) IS NULL THEN 1 ELSE 0 END o FROM v), g AS (SELECT value, sum(o) OVER (ORDER BY value) AS grp FROM q) SELECT event_id AS id, grp::BIGINT AS grp FROM events LEFT JOIN g USING (value)")
+@query("WITH v AS (SELECT DISTINCT value FROM events WHERE abs(value) >= 0.5), q AS (SELECT value, CASE WHEN value - lag(value) OVER (ORDER BY value) > 0.05 OR lag(value) OVER (ORDER BY value) IS NULL THEN 1 ELSE 0 END o FROM v), g AS (SELECT value, sum(o) OVER (ORDER BY value) AS grp FROM q), m AS (SELECT grp, greatest(1, least(10000, round_even(quantile_cont(value, 0.5), 0)))::BIGINT AS cluster FROM events JOIN g USING (value) GROUP BY grp) SELECT event_id AS id, grp::BIGINT AS grp, coalesce(cluster, -1)::BIGINT AS cluster FROM events LEFT JOIN g USING (value) LEFT JOIN m USING (grp)")
 def gap_groups(spark, sf):
     rows = _read(spark, sf, "events").select(F.col("event_id").alias("id"), "value")
-    return ordering.gap_groups(rows, "value", 0.05, 10_000).select("id", F.col("grp").cast("long").alias("grp"))
+    return ordering.gap_groups(rows, "value", 0.05, 10_000).select("id", F.col("grp").cast("long").alias("grp"), "cluster")
 
 
 @query("WITH s AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS slot FROM events) SELECT max(value) / (max(slot) + 1) AS threshold FROM s WHERE abs(value) >= 0.5")
@@ -599,11 +604,107 @@ def argmax_onehot(spark, sf):
 _SIGN = _unrolled({"x": "u - v", "e": "abs(u - v)"}, [{"x": "x * 1.5 - x * x * x * 0.5"}] * 14, "e, abs(x - sign(u - v)) AS err", _LINE)
 
 
-@query(f"WITH z AS ({_SIGN}) SELECT CASE WHEN e < 0.01 THEN 0 WHEN e < 0.03 THEN 1 WHEN e < 0.05 THEN 2 ELSE 3 END AS bin, count(*) AS n, round(avg(err), 9) AS mean, round(stddev_pop(err), 9) AS std, round(quantile_cont(err, 0.5), 9) AS median, round(max(err), 9) AS max FROM z GROUP BY 1")
+@query(f"WITH z AS ({_SIGN}) SELECT CASE WHEN e < 0.01 THEN 0 WHEN e < 0.03 THEN 1 WHEN e < 0.05 THEN 2 ELSE 3 END AS bin, count(*) AS n, round(avg(err), 9) AS mean, round(stddev_pop(err), 9) AS std, round(quantile_cont(err, 0.5), 9) AS median, round(quantile_cont(err, 0.95), 9) AS p95, round(quantile_cont(err, 0.99), 9) AS p99, round(max(err), 9) AS max FROM z GROUP BY 1")
 def error_stats_binned(spark, sf):
     diff = F.col("u") - F.col("v")
     stats = metrics.error_stats(_line(spark, sf), approx.cubic_sign(diff, 14) - F.signum(diff), metrics.magnitude_bin(diff, [0.0, 0.01, 0.03, 0.05, 1.0]))
-    return stats.select("bin", "n", *[F.round(c, 9).alias(c) for c in ("mean", "std", "median", "max")])
+    return stats.select("bin", "n", *[F.round(c, 9).alias(c) for c in ("mean", "std", "median", "p95", "p99", "max")])
+
+
+# --- propagation on the ring of slots, grids, splits ---------------------------------
+
+
+CORE_SLOTS = "o AS (SELECT c.id, slot, slot + 1 AS label FROM c JOIN slots USING (id)), total AS (SELECT count(*) AS n FROM p), g AS (SELECT a.slot AS i, z.slot AS j, (z.slot - a.slot + total.n) % total.n AS k, total.n FROM s JOIN o a ON a.id = s.src JOIN o z ON z.id = s.dst, total)"
+
+
+def _ring(spark, sf):
+    p = emb2(spark, sf)
+    e = neighbours.join_grid(p, EPS, 2)
+    cores = density.core_points(density.neighbour_counts(p, e), MIN_PTS)
+    slots = points.with_slot(p.select("id"), "id")
+    start = slots.join(cores.where("is_core").select("id"), "id").select("id", "slot", (F.col("slot") + 1).alias("label"))
+    n = p.count()
+    return start, neighbours.strides(density.core_edges(e, cores), slots, n), n
+
+
+@query(f"{HEAD}, {CORE_SLOTS}, f AS (SELECT o.slot, greatest(o.label, coalesce(max(q.label), o.label)) AS label FROM o LEFT JOIN g ON g.i = o.slot AND g.k BETWEEN 1 AND g.n // 2 LEFT JOIN o q ON q.slot = g.j GROUP BY o.slot, o.label) SELECT f.slot, greatest(f.label, coalesce(max(q.label), f.label)) AS label FROM f LEFT JOIN g ON g.j = f.slot AND 2 * g.k < g.n AND g.k >= 1 LEFT JOIN f q ON q.slot = g.i GROUP BY f.slot, f.label")
+def propagation_passes(spark, sf):
+    """One forward and one backward pass, chained."""
+    start, near, n = _ring(spark, sf)
+    return propagate_passes(start, near, n)
+
+
+@query(f"{HEAD} SELECT k.id, keys.key AS label FROM k JOIN keys USING (component)")
+def max_propagation_converged(spark, sf):
+    p = emb2(spark, sf)
+    e = neighbours.join_grid(p, EPS, 2)
+    cores = density.core_points(density.neighbour_counts(p, e), MIN_PTS)
+    start = points.with_slot(p.select("id"), "id").join(cores.where("is_core").select("id"), "id").select("id", (F.col("slot") + 1).alias("label"))
+    return propagate_largest(start, density.core_edges(e, cores))[0]
+
+
+@query(f"WITH {P} SELECT a.id AS src, b.id AS dst FROM p a JOIN p b ON a.id < b.id AND {D2} <= {EPS * EPS + 1e-4!r}")
+def eps_join_mirror(spark, sf):
+    """The neighbour predicate with the mirror variant's margin."""
+    return neighbours.join_grid(emb2(spark, sf), EPS, 2, margin=neighbours.squared_margin("mirror", 2)).select("src", "dst")
+
+
+@query("WITH p AS (SELECT s_suppkey AS id, s_nationkey::DOUBLE AS x, s_acctbal::DOUBLE AS y FROM supplier) SELECT a.id AS src, b.id AS dst, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM p a JOIN p b ON a.id < b.id")
+def distance_matrix(spark, sf):
+    p = points.point_table(_read(spark, sf, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal")
+    return neighbours.join_cross(p, float("inf"), 2).select("src", "dst", F.round(F.sqrt("d2"), 6).alias("distance"))
+
+
+GRID5 = "c AS (SELECT a * 5 + b AS id, 0.1 + 0.2 * a AS x, 0.1 + 0.2 * b AS y FROM range(5) q(a), range(5) r(b)), d AS (SELECT u.id AS cell_id, v.id AS other_id FROM c u, c v WHERE greatest(abs(u.x - v.x), abs(u.y - v.y)) <= 0.25 + 0.1)"
+
+
+def _adjacency5(spark):
+    return grid.cell_adjacency(grid.centres(spark, [0.0, 0.0], [1.0, 1.0], 0.2), 0.25, 0.1)
+
+
+@query(f"WITH {GRID5} SELECT * FROM d")
+def grid_adjacency(spark, sf):
+    return _adjacency5(spark)
+
+
+@query(f"WITH {GRID5} SELECT DISTINCT other_id - cell_id AS delta FROM d")
+def grid_deltas(spark, sf):
+    return grid.cell_deltas(_adjacency5(spark))
+
+
+@query(f"WITH {GRID5} SELECT i * 25 + c.id AS slot, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.cell_id = c.id AND d.other_id - d.cell_id = 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask FROM c, range(3) q(i)")
+def grid_delta_mask(spark, sf):
+    return grid.delta_mask(_adjacency5(spark), 6, 25, 3)
+
+
+@query("SELECT a * 4 + b AS cell_id, (10.0::DOUBLE + 5.0::DOUBLE * (a + 0.5::DOUBLE) - 5.0::DOUBLE) / 20.0::DOUBLE AS x, (10.0::DOUBLE + 5.0::DOUBLE * (b + 0.5::DOUBLE) - 5.0::DOUBLE) / 20.0::DOUBLE AS y FROM range(2) q(a), range(4) r(b)")
+def grid_centres_normalized(spark, sf):
+    c = grid.normalized_centres(grid.centres(spark, [10.0, 10.0], [20.0, 30.0], 5.0), 5.0, 20.0)
+    return c.select("cell_id", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"))
+
+
+@query(f"WITH {OWNED} SELECT id, owner_id, cell_id * 16 + owner_id * 2 + rn AS slot FROM b")
+def global_slots(spark, sf):
+    rows, _ = _owned(spark, sf)
+    return grid.global_slots(rows, 16, {k: 2 * k for k in range(8)}).select("id", "owner_id", "slot")
+
+
+@query(f"WITH {P}, n AS (SELECT count(*) AS n FROM p), q AS (SELECT id, row_number() OVER (ORDER BY md5('0-' || id), id) - 1 AS s, n // 3 AS size, n % 3 AS more FROM p, n), w AS (SELECT *, CASE WHEN s < more * (size + 1) THEN s // (size + 1) ELSE (s - more * (size + 1)) // size + more END AS owner_id FROM q) SELECT id, owner_id::INT AS owner_id, s - owner_id * size - least(owner_id, more) AS owner_local_idx FROM w")
+def owner_split_random(spark, sf):
+    return ordering.split_random(emb2(spark, sf), 3).select("id", "owner_id", "owner_local_idx")
+
+
+@query(f"WITH {P}, q AS (SELECT id, row_number() OVER (ORDER BY x, id) - 1 AS slot FROM p) SELECT id, slot * 2 AS value FROM q")
+def restore_order(spark, sf):
+    """Values by slot, back to ids."""
+    slotted = points.with_slot(emb2(spark, sf).withColumn("z", F.col("coords")[0]), "z", "id")
+    return ordering.restore(slotted, slotted.select("slot", (F.col("slot") * 2).alias("value")))
+
+
+@query("SELECT event_id AS id, value FROM (SELECT event_id, value FROM events ORDER BY abs(value), event_id LIMIT 100)")
+def order_by_magnitude(spark, sf):
+    rows = _read(spark, sf, "events").select(F.col("event_id").alias("id"), "value")
+    return ordering.by_magnitude(rows.orderBy("id"), "value").orderBy(F.abs("value"), "id").limit(100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

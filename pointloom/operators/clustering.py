@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,65 @@ def inertia(assigned: DataFrame, d: int) -> DataFrame:
     return spread.agg(F.sum(sum((F.col(f"v{k}") for k in range(1, d)), F.col("v0"))).alias("inertia"))
 
 
+#: Points that a bandwidth estimate and a one-class machine are fitted on, at most: chosen by hash of the id.
+FITTED = 2000
+
+
+def _fitted(points: DataFrame, most: int) -> np.ndarray:
+    rows = valid(points).orderBy(F.xxhash64("id"), "id").limit(most).select("coords").collect()
+    return np.array([r["coords"] for r in rows], float)
+
+
+def estimate_bandwidth(points: DataFrame, quantile: float = 0.3, most: int = FITTED) -> float:
+    """The mean distance of points to the farthest of their nearest quantile (themselves counted), over at most ``most`` points; 0 for none."""
+    x = _fitted(points, most)
+    if not len(x):
+        return 0.0
+    k = max(1, int(len(x) * quantile))
+    d2 = np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0)
+    return float(np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]).mean())
+
+
+def one_class(points: DataFrame, gamma: float = 1.0, nu: float = 0.1, most: int = FITTED, tolerance: float = 1e-6) -> DataFrame:
+    """Points with cluster 0 inside and -1 outside a one-class support vector machine with a radial kernel.
+
+    The dual problem (weights between 0 and 1 / (nu n), adding up to 1) is solved on at most ``most``
+    points by moving weight along the pair that breaks optimality most; every point is then judged.
+    """
+    x = _fitted(points, most)
+    if not len(x):
+        return points.withColumn("cluster", F.lit(0))
+    n = len(x)
+    kernel = np.exp(-gamma * ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    most_weight = 1.0 / (nu * n)
+    weight = np.zeros(n)
+    full = int(nu * n)
+    weight[:full] = most_weight
+    if full < n:
+        weight[full] = 1.0 - full * most_weight
+    gradient = kernel @ weight
+    for _ in range(200 * n):
+        up, down = np.where(weight < most_weight - 1e-12, gradient, np.inf), np.where(weight > 1e-12, gradient, -np.inf)
+        i, j = int(up.argmin()), int(down.argmax())
+        if down[j] - up[i] < tolerance:
+            break
+        step = min((gradient[j] - gradient[i]) / max(2 - 2 * kernel[i, j], 1e-12), most_weight - weight[i], weight[j])
+        weight[i] += step
+        weight[j] -= step
+        gradient += step * (kernel[i] - kernel[j])
+    free = (weight > 1e-9) & (weight < most_weight - 1e-9)
+    offset = float(gradient[free].mean()) if free.any() else float((gradient[weight > 1e-9].max() + gradient[weight <= 1e-9].min(initial=np.inf)) / 2 if (weight <= 1e-9).any() else gradient.max())
+    kept, its = x[weight > 1e-9], weight[weight > 1e-9]
+
+    @F.pandas_udf("int")
+    def judged(coords: pd.Series) -> pd.Series:
+        q = np.stack(coords.to_list())
+        value = np.concatenate([np.exp(-gamma * ((part[:, None, :] - kept[None, :, :]) ** 2).sum(-1)) @ its for part in np.array_split(q, max(1, len(q) // 500))])
+        return pd.Series(np.where(value >= offset - 10 * tolerance, 0, -1).astype(np.int32))
+
+    return valid(points).withColumn("cluster", judged("coords"))
+
+
 def shift_once(seeds: DataFrame, points: DataFrame, bandwidth: float, d: int) -> DataFrame:
     """(id, coords, support): every seed at the mean of the points within the bandwidth; a seed without any stays."""
     side = bandwidth * (1 + N.SLACK)

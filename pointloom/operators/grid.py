@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def axis_counts(lows: list[float], highs: list[float], side: float) -> list[int]:
-    """Cells along each axis (at least 1)."""
-    return [max(1, math.ceil((hi - lo) / side - 1e-12)) for lo, hi in zip(lows, highs, strict=True)]
+def axis_counts(lows: list[float], highs: list[float], side: float, rounding: str = "ceil") -> list[int]:
+    """Cells along each axis (at least 1): as many as cover it (``ceil``), or the nearest number (``round``, halves to even)."""
+    count = {"ceil": lambda x: math.ceil(x - 1e-12), "round": round}[rounding]
+    return [max(1, count((hi - lo) / side)) for lo, hi in zip(lows, highs, strict=True)]
 
 
 def centres(spark: SparkSession, lows: list[float], highs: list[float], side: float) -> DataFrame:
@@ -27,6 +28,11 @@ def centres(spark: SparkSession, lows: list[float], highs: list[float], side: fl
     return cells.withColumn("centre", F.array(*parts))
 
 
+def normalized_centres(centre_table: DataFrame, lo: float, scale: float) -> DataFrame:
+    """Centres moved as ``normalize_global`` moves points: by one range for all dimensions (a scale of 0 counts as 1)."""
+    return centre_table.withColumn("centre", F.transform("centre", lambda c: (c - F.lit(lo)) / F.lit(scale or 1.0)))
+
+
 def cell_index(coords: Column, lows: list[float], highs: list[float], side: float, boundary: str = "upper") -> Column:
     """The cell of a point as array<int>; null outside the domain.
 
@@ -105,6 +111,13 @@ def cell_deltas(pairs: DataFrame) -> DataFrame:
     return pairs.select((F.col("other_id") - F.col("cell_id")).alias("delta")).distinct()
 
 
+def delta_mask(pairs: DataFrame, delta: int, cells: int, bucket: int) -> DataFrame:
+    """(slot, mask) of every column-major slot: 1.0 where the slot's cell and the cell ``delta`` further are adjacent, else 0.0."""
+    near = pairs.where(F.col("other_id") - F.col("cell_id") == delta).select(F.col("cell_id").alias("cell")).distinct().withColumn("mask", F.lit(1.0))
+    slots = pairs.sparkSession.range(cells * bucket).select(F.col("id").alias("slot"), (F.col("id") % cells).alias("cell"))
+    return slots.join(near, "cell", "left").select("slot", F.coalesce("mask", F.lit(0.0)).alias("mask"))
+
+
 def blocks(points: DataFrame, bucket: int, owner: str = "owner_id", cell: str = "cell_id", order: str = "owner_local_idx", most_blocks: int | None = None) -> DataFrame:
     """block_idx and pos of every row in arrival order within owner and cell; rows past ``most_blocks`` blocks go, if it is given."""
     nth = F.row_number().over(Window.partitionBy(owner, cell).orderBy(order)) - 1

@@ -94,6 +94,39 @@ def ball_kmax(points: np.ndarray, order: list[int], eps: float) -> int:
     return most
 
 
+def ball_gap_kmax(points: np.ndarray, eps: float) -> int:
+    """The stride bound read off a ball order's splits: the span of the widest split whose two balls are less than eps apart.
+
+    A split of n rows spans n - 1 slots, or the rest of the ring if that is less; at least 1,
+    at most N // 2. Driver-sized input, like the order.
+    """
+    n, most = len(points), 0
+    todo = [np.arange(n)]
+    while todo:
+        ids = todo.pop()
+        if len(ids) < 2:
+            continue
+        x = points[ids]
+        far = int(((x - x.mean(0)) ** 2).sum(1).argmax())
+        axis = x[int(((x - x[far]) ** 2).sum(1).argmax())] - x[far]
+        length = float(np.sqrt((axis**2).sum()))
+        ranked = ids[np.argsort((x - x[far]) @ (axis / length), kind="stable")] if length >= 1e-12 else ids
+        half = len(ranked) // 2
+        sides = [ranked[:half], ranked[half + 1 :]]
+        if all(map(len, sides)):
+            centres = [points[s].mean(0) for s in sides]
+            radii = [float(np.sqrt(((points[s] - c) ** 2).sum(1)).max()) for s, c in zip(sides, centres, strict=True)]
+            if float(np.sqrt(((centres[0] - centres[1]) ** 2).sum())) - sum(radii) < eps:
+                most = max(most, min(len(ids) - 1, n - len(ids) + 1))
+        todo += sides
+    return min(max(most, 1), n // 2)
+
+
+def by_magnitude(df: DataFrame, column: str) -> DataFrame:
+    """Rows ordered by |column|."""
+    return df.orderBy(F.abs(F.col(column)))
+
+
 def global_index(slots: DataFrame, *order: str) -> DataFrame:
     """Dense ids of rows in the given order, e.g. owner, cell, block, pos."""
     return with_slot(slots, *order, name="global_id")
@@ -146,9 +179,12 @@ def split_contiguous(points: DataFrame, owners: int, order: str = "id") -> DataF
 
 
 def split_random(points: DataFrame, owners: int, seed: int = 0, order: str = "id") -> DataFrame:
-    """owner_id by a seeded hash of the id, near equal in size, and owner_local_idx in id order."""
-    owner = F.pmod(F.xxhash64(F.lit(seed), order), F.lit(owners)).cast("int")
-    tagged = points.withColumn("owner_id", owner)
-    nth = with_slot(tagged, "owner_id", order, name="__g")
-    base = nth.groupBy("owner_id").agg(F.min("__g").alias("__b"))
-    return nth.join(F.broadcast(base), "owner_id").withColumn("owner_local_idx", F.col("__g") - F.col("__b")).drop("__g", "__b")
+    """owner_id and owner_local_idx: a seeded permutation cut into runs whose lengths differ by one at most, the longer ones first."""
+    drawn = points.withColumn("__draw", F.md5(F.concat(F.lit(f"{seed}-"), F.col(order).cast("string"))))
+    slotted = written(with_slot(drawn, "__draw", order, name="__slot"), "slotted").drop("__draw")
+    size, more = divmod(slotted.count(), owners)
+    longer = more * (size + 1)
+    slot = F.col("__slot")
+    owner = F.when(slot < longer, F.floor(slot / (size + 1))).otherwise(F.floor((slot - longer) / max(size, 1)) + more).cast("int")
+    first = F.col("owner_id") * size + F.least(F.col("owner_id"), F.lit(more))
+    return slotted.withColumn("owner_id", owner).withColumn("owner_local_idx", slot - first).drop("__slot")

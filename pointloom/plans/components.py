@@ -19,6 +19,8 @@ from pointloom.storage import written
 
 #: Edges a task holds before it reduces them to a forest.
 HELD = 2_000_000
+#: Slots that sequential sweeps take.
+SWEPT = 20_000
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,6 +92,56 @@ def least_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+def propagate_passes(labels: DataFrame, near: DataFrame, n: int, rounds: int = 1, k_max: int | None = None, group: int | None = None) -> DataFrame:
+    """(slot, label) after rounds of a forward and a backward pass over strides 1 to ``k_max`` on a ring of n slots.
+
+    ``near`` (slot, stride): slot i and (i + stride) mod n are neighbours (both ways, see
+    ``neighbours.strides``). A pass takes groups of ``group`` strides (default: all) one after
+    the other, backward in reverse order; each step sees the labels of the one before. Forward a slot takes the
+    largest label of itself and the slots stride further; backward, of those stride before, where 2 stride < n.
+    """
+    k_max = min(k_max or n // 2, n // 2)
+    near = written(near.where(F.col("stride").between(1, k_max)).select("slot", "stride", F.pmod(F.col("slot") + F.col("stride"), F.lit(n)).alias("other")).distinct(), "strides")
+    back = near.where(2 * F.col("stride") < n).select(F.col("other").alias("slot"), "stride", F.col("slot").alias("other"))
+    labels = written(labels.select("slot", "label"), "propagation")
+    starts = range(1, k_max + 1, group or max(1, k_max))
+    steps = [(near, a) for a in starts] + [(back, a) for a in reversed(starts)]
+    for _ in range(rounds):
+        for edges, a in steps:
+            now = edges.where(F.col("stride").between(a, a + (group or k_max) - 1))
+            offered = now.join(labels.select(F.col("slot").alias("other"), "label"), "other").groupBy("slot").agg(F.max("label").alias("offered"))
+            raised = labels.join(offered, "slot", "left").select("slot", F.greatest("label", F.coalesce("offered", "label")).alias("label"))
+            labels = written(raised, "propagation")
+    return labels
+
+
+def sweep_labels(labels: np.ndarray, near: list[tuple[int, int]], sweeps: int | None = None, doubling: bool = False) -> np.ndarray:
+    """Labels of a ring after sequential sweeps, one stride after the other: a chain of N/2 steps by definition, so driver-sized (SWEPT slots).
+
+    ``near``: (slot, stride) as in ``propagate_passes``. Each stride goes forward and, where
+    2 stride < n, backward; ``sweeps`` defaults to ceil(log2 n). ``doubling`` is the
+    historical, incomplete variant: strides 1, 2, 4, ... once, forward only.
+    """
+    n = len(labels)
+    if n > SWEPT:
+        raise ValueError(f"sweeps are for at most {SWEPT} slots; propagate_passes is for more")
+    out, by = np.array(labels).copy(), {}
+    for slot, stride in near:
+        by.setdefault(stride, []).append(slot)
+    by = {k: np.unique(v) for k, v in by.items()}
+    strides = [1 << r for r in range(max(0, n - 1).bit_length())] if doubling else range(1, n // 2 + 1)
+    for _ in range(1 if doubling else (sweeps if sweeps is not None else max(0, n - 1).bit_length())):
+        for k in strides:
+            at = by.get(k)
+            if at is None or k >= n:
+                continue
+            out[at] = np.maximum(out[at], out[(at + k) % n])
+            if not doubling and 2 * k < n:
+                ahead = (at + k) % n
+                out[ahead] = np.maximum(out[ahead], out[at])
+    return out
+
+
 def propagate_largest(labels: DataFrame, edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:
     """Synchronous propagation of the largest label along edges, ``rounds`` times or until nothing changes.
 

@@ -42,6 +42,11 @@ def prepare(points: DataFrame, side: float, bucket: int | None = None) -> tuple[
     return written(packed, "packed"), {"lo": float(lo), "scale": scale, "counts": counts, "bucket": bucket, "side": step, "d": d}
 
 
+def block_lookup(packed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The packed rows of the blocks named by ``wanted`` (owner_id, cell_id, block_idx); unknown blocks have none."""
+    return packed.join(wanted.select("owner_id", "cell_id", "block_idx").distinct(), ["owner_id", "cell_id", "block_idx"], "left_semi")
+
+
 def client_view(packed: DataFrame) -> DataFrame:
     return packed.select("global_id", "owner_id", "owner_local_idx", "cell_id", "block_idx", "pos")
 

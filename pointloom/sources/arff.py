@@ -28,6 +28,16 @@ def attributes(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return [(m[1].strip("'\""), m[2].strip()) for m in found if m]
 
 
+def _rows(spark: SparkSession, path: str, sep: str = r"[,\s]+") -> DataFrame:
+    """(path, nth, line, __v): the data lines and their values as text."""
+    rows = lines(spark, path)
+    start = rows.where(F.lower("line").startswith("@data")).groupBy("path").agg(F.min("nth").alias("__data"))
+    rows = rows.join(F.broadcast(start), "path").where("nth > __data")  # a row per file
+    rows = rows.where((F.col("line") != "") & ~F.col("line").startswith("%"))
+    parts = F.filter(F.split(F.regexp_replace("line", r"[,\s]+$", ""), sep), lambda x: x != "")
+    return rows.withColumn("__v", parts).where(F.size("__v") >= 2)
+
+
 def read(spark: SparkSession, path: str, sep: str = r"[,\s]+", label: str | None = "last", label_type: str = "int", strict: bool = True) -> DataFrame:
     """id (row in the file, 0-based), coords and true_label.
 
@@ -35,12 +45,7 @@ def read(spark: SparkSession, path: str, sep: str = r"[,\s]+", label: str | None
     string, or mixed (true_label int where it is one, and label_text). Rows of one value
     are skipped; a value that is no number is an error if ``strict``, else its row goes.
     """
-    rows = lines(spark, path)
-    start = rows.where(F.lower("line").startswith("@data")).groupBy("path").agg(F.min("nth").alias("__data"))
-    rows = rows.join(F.broadcast(start), "path").where("nth > __data")
-    rows = rows.where((F.col("line") != "") & ~F.col("line").startswith("%"))
-    parts = F.filter(F.split(F.regexp_replace("line", r"[,\s]+$", ""), sep), lambda x: x != "")
-    rows = rows.withColumn("__v", parts).where(F.size("__v") >= 2)
+    rows = _rows(spark, path, sep)
     texts = F.slice("__v", 1, F.size("__v") - (1 if label else 0))
     numbers = F.transform(texts, lambda x: F.trim(x).try_cast("double"))
     rows = rows.withColumn("coords", numbers)
@@ -62,13 +67,13 @@ def read(spark: SparkSession, path: str, sep: str = r"[,\s]+", label: str | None
 
 
 def read_named(spark: SparkSession, path: str) -> DataFrame:
-    """Columns by the header's names; numeric attributes as doubles, nominal ones as text."""
-    heads = attributes(spark, path)
-    rows = read(spark, path, label=None, strict=False) if all("{" not in t for _, t in heads) else None
-    if rows is not None:
-        return rows.select("id", *[F.col("coords")[k].alias(n) for k, (n, _) in enumerate(heads)])
-    rows = read(spark, path, label_type="string")
-    return rows.select("id", *[F.col("coords")[k].alias(n) for k, (n, _) in enumerate(heads[:-1])], F.col("true_label").alias(heads[-1][0]))
+    """id and a column for each attribute of the header, by name: nominal ones and strings as text, others as doubles (null where a value is no number)."""
+    rows = with_slot(_rows(spark, path).select("path", "nth", "__v"), "path", "nth", name="id")
+    out = []
+    for k, (name, kind) in enumerate(attributes(spark, path)):
+        value = F.trim(F.try_element_at("__v", F.lit(k + 1)))
+        out.append((value if "{" in kind or kind.lower() == "string" else value.try_cast("double")).alias(name))
+    return rows.select("id", *out)
 
 
 def join_columns(values: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pointloom import catalog
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 TABLES = "region nation customer supplier part orders lineitem events embeddings"
-SOME = ["eps_join_grid", "eps_join_band", "dbscan_labels_first", "dbscan_labels_max", "dbscan_labels_stride", "dbscan_labels_overwrite", "kmax_window", "gap_groups", "bucketize_blocks", "kmeans_lloyd_3", "ari_vs_label"]
+SOME = ["propagation_passes", "owner_split_random", "multi_owner_clusters", "kmax_window_ties", "grid_neighbors", "grid_delta_mask", "eps_join_grid", "eps_join_band", "dbscan_labels_first", "dbscan_labels_max", "dbscan_labels_stride", "dbscan_labels_overwrite", "kmax_window", "gap_groups", "bucketize_blocks", "kmeans_lloyd_3", "ari_vs_label"]
 
 
 @pytest.mark.parametrize("name", SOME)
