@@ -22,8 +22,8 @@ from pointloom.llm import bpe
 from pointloom.llm.common import bound_batches, written
 
 CAPACITY = 2048
-#: Pieces ranked by one task at a time.
-BUCKET_ROWS = 200_000
+#: Pieces of one length that are ranked together; more of a length are dealt to several buckets.
+BUCKET_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -112,9 +112,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys = table[:, 0] << 44 | table[:, 1]
     order = np.argsort(keys)
     table, keys = table[order], keys[order]
-    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
     spread = pieces.withColumn("__at", F.monotonically_increasing_id())
-    spread = written(spread.withColumn("__bucket", F.pmod(F.xxhash64("__at"), F.lit(buckets)).cast("int")), "pieces")
+    crowded = [(length, -(-n // BUCKET_ROWS)) for length, n in counts.items() if n > BUCKET_ROWS]  # at most capacity rows
+    buckets = F.broadcast(pieces.sparkSession.createDataFrame(crowded, "length long, __buckets long"))
+    draw = F.pmod(F.xxhash64("__at"), F.coalesce("__buckets", F.lit(1))).cast("int")
+    spread = written(spread.join(buckets, "length", "left").withColumn("__bucket", draw).drop("__buckets"), "pieces")
     sizes = spread.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))

@@ -153,6 +153,40 @@ def test_quality_on_held_out_rows(labelled, stored):
     assert quality.clean(stored, labels).columns == stored.columns
 
 
+def test_quality_by_brute_force(labelled):
+    """Weights that plain gradient descent finds for the same pairs, the quantile's threshold, and the scores."""
+    docs, labels = labelled
+    allowed = {}
+    for r in quality.training_labels(labels).collect():
+        if r["doc_id"] is not None and r["label"] is not None:
+            allowed[r["doc_id"]] = min(r["label"], allowed.get(r["doc_id"], 1))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = sorted(d for d in allowed if d in texts)
+    y = np.array([allowed[d] for d in ids])
+    x = np.stack([quality.features(texts[d]) for d in ids])
+    centre, scale = x.mean(0), x.std(0) + 1e-6
+    wide = lambda v: np.concatenate([z := np.clip((v - centre) / scale, -6, 6), z**2], -1)
+    good, bad = wide(x[y == 1]), wide(x[y == 0])
+    picks = np.random.default_rng(0).integers(len(good), size=min(quality.PAIRS, len(good)) * len(bad))
+    d = good[picks] - bad[np.arange(len(picks)) % len(bad)]
+    model = quality.fit(docs, quality.training_labels(labels))
+    assert np.allclose(model.centre, centre) and np.allclose(model.scale, scale)
+    loss = lambda w: np.logaddexp(0, -d @ w).mean() + 0.5e-2 * (w @ w)
+    slope = lambda w: -(d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(0) + 1e-2 * w
+    w = np.zeros(d.shape[1])
+    for _ in range(20_000):
+        w -= 0.05 * slope(w)
+    assert np.abs(slope(model.weights)).max() < 1e-5 and abs(loss(w) - loss(model.weights)) < 1e-4
+    s = np.sort(wide(x) @ model.weights)
+    low = int((y == 0).sum())  # so many texts stay below the threshold
+    threshold = (s[low - 1] + s[low]) / 2
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels).collect()}
+    for i, t in texts.items():
+        strength = float(wide(quality.features(t)) @ model.weights)
+        want = 1 / (1 + math.exp(-min(30, max(-30, model.slope * (strength - threshold) + math.log(quality.CUT / (1 - quality.CUT))))))
+        assert math.isclose(got[i], want, rel_tol=1e-6, abs_tol=1e-9)
+
+
 def test_language_model_equals_brute_force(stored, rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]

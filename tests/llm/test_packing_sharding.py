@@ -39,6 +39,24 @@ def test_packing_is_whole_and_tight(stored, rows):
     assert len(by) <= 1.06 * sum(r["length"] for r in out) / 256 + 1
 
 
+def test_crowded_lengths_take_several_buckets(spark, monkeypatch):
+    """Ranks stay gapless when a length is dealt to buckets: every place is taken once, and as many sequences are used."""
+    rng = random.Random(5)
+    rows = [(i, 0, 0, rng.choice([3, 3, 3, 7, 11]), i) for i in range(900)]
+    pieces = packing.written(spark.createDataFrame(rows, packing.PIECES).repartition(3), "p")
+    used = lambda out: len({r["sequence_id"] for r in out})
+    want = used(packing.pack(pieces, 16).collect())
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 40)
+    out = packing.pack(pieces, 16).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        ends = [o + n for o, n in sorted(parts)]
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 16
+    assert len(out) == 900 and used(out) == want
+
+
 def test_plan_equals_best_fit_one_by_one():
     rng = random.Random(1)
     for _ in range(40):
