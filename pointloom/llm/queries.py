@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pointloom.llm import decontamination, jaccard, language_model, media, packing, quality, rollup, sharding, sql, toxicity, warc
 
@@ -30,7 +31,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("bm25_share", F.round("bm25_share", 6))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,5 +38,56 @@ FROM d
 """
 
 
+_UPPER = "".join(map(chr, [*range(0x41, 0x5B), *(c for c in range(0xC0, 0xDF) if c != 0xD7)]))
+_WORDS = rf"regexp_extract_all(translate(%s, '{_UPPER}', '{_UPPER.lower()}'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
+
+#: BM25 shares of all passages and items, then overlaps of word triples of question and answer; the best passage of each.
+BENCHMARK_DECONTAMINATION = f"""
+WITH i AS (
+  SELECT coalesce(item_id, -1) AS item_id, text, {_WORDS % "text"} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), items AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, item_id, text, w, len(w) AS n, (64 * pow(2, greatest(0, ceil(log2(len(w) / 64.0)))))::BIGINT AS stride FROM i WHERE len(w) > 0
+), total AS (
+  SELECT count(*) AS n, avg(n) AS mean FROM items
+), tf AS (
+  SELECT r, t, count(*) AS tf, any_value(n) AS n, any_value(stride) AS stride FROM (SELECT r, n, stride, unnest(w) AS t FROM items) GROUP BY r, t
+), df AS (
+  SELECT t, count(*) AS df FROM tf GROUP BY t
+), score AS (
+  SELECT r, t, stride, ln(1 + (total.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.n / mean)) AS s FROM tf JOIN df USING (t), total
+), share AS MATERIALIZED (
+  SELECT r, t, stride, s / sum(s) OVER (PARTITION BY r) AS share FROM score
+), d AS (
+  SELECT row_number() OVER () AS rd, doc_id, {_WORDS % "coalesce(text, '')"} AS w FROM documents
+), starts AS (
+  SELECT rd, doc_id, w, stride, unnest(range(0, (greatest(1, ceil(len(w) / stride::DOUBLE)::BIGINT - 1) * stride)::BIGINT, stride)) AS start FROM d, (SELECT DISTINCT stride FROM items)
+), passage AS MATERIALIZED (
+  SELECT rd, doc_id, stride, start, w[start + 1:start + 2 * stride] AS w FROM starts
+), hit AS MATERIALIZED (
+  SELECT rd, start, p.stride, r, sum(share) AS bm25_share FROM (SELECT rd, start, stride, unnest(list_distinct(w)) AS t FROM passage) p JOIN share USING (t, stride) GROUP BY rd, start, p.stride, r HAVING sum(share) >= 0.5 - 1e-9
+), cut AS (
+  SELECT *, string_split(regexp_replace(trimmed, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS sentences, string_split_regex(trimmed, '\\s+') AS plain
+  FROM (SELECT r, w, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS trimmed FROM items)
+), halves AS (
+  SELECT r, w, CASE WHEN len(sentences) > 1 THEN array_to_string(sentences[:-2], ' ') ELSE array_to_string(plain[:len(plain) - greatest(1, len(plain) // 3)], ' ') END AS q,
+    CASE WHEN len(sentences) > 1 THEN sentences[-1] ELSE array_to_string(plain[len(plain) - greatest(1, len(plain) // 3) + 1:], ' ') END AS a FROM cut
+), parts AS (
+  SELECT r, CASE WHEN len(q) > 0 THEN q ELSE w END AS q, CASE WHEN len(a) > 0 THEN a ELSE w END AS a FROM (SELECT r, w, {_WORDS % "q"} AS q, {_WORDS % "a"} AS a FROM halves)
+), grams AS (
+  SELECT r, least(3, len(q)) AS nq, least(3, len(a)) AS na, q, a FROM parts
+), wanted AS (
+  SELECT r, nq, na, list_distinct(list_transform(range(1, len(q) - nq + 2), lambda i: array_to_string(q[i:i + nq - 1], ' '))) AS q, list_distinct(list_transform(range(1, len(a) - na + 2), lambda i: array_to_string(a[i:i + na - 1], ' '))) AS a FROM grams
+), seen AS (
+  SELECT h.*, p.doc_id, g.q, g.a, list_transform(range(1, len(p.w) - nq + 2), lambda i: array_to_string(p.w[i:i + nq - 1], ' ')) AS pq, list_transform(range(1, len(p.w) - na + 2), lambda i: array_to_string(p.w[i:i + na - 1], ' ')) AS pa
+  FROM hit h JOIN passage p USING (rd, start, stride) JOIN wanted g USING (r)
+), measured AS (
+  SELECT *, len(list_intersect(q, pq)) / len(q)::DOUBLE AS question_overlap, len(list_intersect(a, pa)) / len(a)::DOUBLE AS answer_overlap FROM seen
+)
+SELECT doc_id, item_id, start AS passage, round(bm25_share, 6) AS bm25_share, question_overlap, answer_overlap FROM measured JOIN items USING (r)
+WHERE least(question_overlap, answer_overlap) >= 0.5
+QUALIFY row_number() OVER (PARTITION BY rd, r ORDER BY least(question_overlap, answer_overlap) DESC, start) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op7_warc": WARC}
+    return {"op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op5_benchmark_decontamination": BENCHMARK_DECONTAMINATION, "op7_warc": WARC}
