@@ -30,7 +30,7 @@ PER_LABEL = 1500
 NEIGHBOURS = 25
 BLOCK = 32
 #: Texts, and characters of texts, that are handled at once (a longer text is handled alone); they bound a worker's memory.
-STEP, STEP_CHARACTERS = 64, 160_000
+STEP, STEP_CHARACTERS = 80, 240_000
 STEMS = (4, 5)
 #: So many of the most common terms are kept as whole rows of weights (a matter of storage only).
 WHOLE = 2048
