@@ -187,6 +187,41 @@ def test_quality_by_brute_force(labelled):
         assert math.isclose(got[i], want, rel_tol=1e-6, abs_tol=1e-9)
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """Thousands of rows of each label: centre, scale, weights and threshold are of all of them, however they are dealt out."""
+    rng = random.Random(23)
+    docs = [(i, prose(rng, rng.randint(1, 12)) + "!" * (rng.randint(0, 3) if i % 2 else rng.randint(2, 6))) for i in range(6000)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, label int")
+    x = np.stack([quality.features(t) for _, t in docs])
+    model = quality.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), labels)
+    assert np.allclose(model.centre, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6)
+    wide = model.wide(x)
+    good, bad = wide[1::2], wide[::2]
+    draws = np.arange(quality.PAIRS * len(bad))
+    picks = np.concatenate([np.random.default_rng(k).integers(len(good), size=quality.DRAWS) for k in range(draws[-1] // quality.DRAWS + 1)])[draws]
+    left = np.setdiff1d(np.arange(len(good)), picks)
+    d = np.concatenate([good[picks] - bad[draws % len(bad)], good[left] - bad[left % len(bad)]])
+    slope = -(d / (1 + np.exp(d @ model.weights))[:, None]).mean(0) + 1e-2 * model.weights
+    assert len(draws) > quality.DRAWS and np.abs(slope).max() < 1e-6
+    s, y = wide @ model.weights, np.arange(6000) % 2
+    threshold = (math.log(quality.CUT / (1 - quality.CUT)) - model.level) / model.slope
+    assert math.isclose(threshold, np.sort(s)[2999:3001].mean(), abs_tol=1e-9)
+    assert math.isclose(model.slope, toxicity._logistic(s, y, np.ones(6000))[0], rel_tol=1e-6)
+
+
+def test_every_labelled_row_is_in_a_pair(spark):
+    rng = random.Random(24)
+    rows = [(i, np.array([float(i)] * len(quality.NAMES)).tobytes()) for i in range(300)]
+    for lower in (1, 4, 299):
+        pairs = quality._pairs(spark.createDataFrame(rows, "slot long, x binary"), lower, 300 - lower).collect()
+        low, high = ({int(np.frombuffer(r[c])[0]) for r in pairs} for c in ("low", "high"))
+        assert low == set(range(lower)) and high == set(range(lower, 300))
+    values = [rng.choice([0.0, -1.5, 1e-300, 7.25, rng.random()]) for _ in range(500)]
+    strengths = spark.createDataFrame([(v,) for v in values], "strength double")
+    for rank in (0, 100, 250, 498):
+        assert quality._at_rank(strengths, rank) == tuple(sorted(values)[rank : rank + 2])
+
+
 def test_language_model_equals_brute_force(stored, rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]
